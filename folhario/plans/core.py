@@ -1,0 +1,15 @@
+"""Queries of the core operators; each takes (spark, folder) and returns a DataFrame."""
+
+from __future__ import annotations
+
+from folhario.operators.nested import flatten
+from folhario.runtime import table
+
+
+def p3_found(spark, sf_dir):
+    flat = flatten(table(spark, sf_dir, "raw_processes"))
+    return flat.selectExpr("key AS process_number", "kind", "node_id", "parent_id")
+
+
+QUERIES = {"p3_found": p3_found}
+SQL: dict[str, str] = {}
