@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
-from folhario.llm import leaks, mojibake, tokens
+from folhario.llm import boilerplate, leaks, mojibake, survivor, tokens
 from folhario.runtime import spread, table
 
 
+def p2_found(spark, sf_dir):
+    return survivor.survivors(table(spark, sf_dir, "dados_diretoria_especial_v5"), table(spark, sf_dir, "extraction_methods"))
+
+
+def p2_golden(spark, sf_dir):
+    return survivor.golden(table(spark, sf_dir, "dados_diretoria_especial_v5"), table(spark, sf_dir, "extraction_methods"))
+
+
+def p5_found(spark, sf_dir):
+    return boilerplate.repeated_lines(table(spark, sf_dir, "pages"), table(spark, sf_dir, "caches"))
+
+
+def p5_cleaned(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    removed = boilerplate.repeated_lines(pages, table(spark, sf_dir, "caches"))
+    return boilerplate.strip_lines(pages, removed).select("page_id", "header", "footer", "text")
+
+
 def p7_ids(spark, sf_dir):
     return tokens.encode_corpus(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -24,5 +42,5 @@ def p9_repaired(spark, sf_dir):
     return mojibake.repair_corpus(docs).where("garbled").select("doc_id", "repaired")
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_repaired": p9_repaired}
+QUERIES = {"p2_found": p2_found, "p2_golden": p2_golden, "p5_found": p5_found, "p5_cleaned": p5_cleaned, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_repaired": p9_repaired}
 SQL: dict[str, str] = {}
