@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folhario.llm import boilerplate, leaks, mojibake, survivor, tokens
+from folhario.llm import boilerplate, leaks, mojibake, survivor, tokens, variants
 from folhario.runtime import spread, table
 
 
@@ -24,6 +24,17 @@ def p5_cleaned(spark, sf_dir):
     return boilerplate.strip_lines(pages, removed).select("page_id", "header", "footer", "text")
 
 
+NAME_COLUMNS = ("perito_nome", "autor", "parte_contraria")
+
+
+def p6_found(spark, sf_dir):
+    return variants.pairs(variants.entities(table(spark, sf_dir, "dados_diretoria_especial_v5"), NAME_COLUMNS))
+
+
+def p6_entities(spark, sf_dir):
+    return variants.entities(table(spark, sf_dir, "dados_diretoria_especial_v5"), NAME_COLUMNS)
+
+
 def p7_ids(spark, sf_dir):
     return tokens.encode_corpus(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -42,5 +53,5 @@ def p9_repaired(spark, sf_dir):
     return mojibake.repair_corpus(docs).where("garbled").select("doc_id", "repaired")
 
 
-QUERIES = {"p2_found": p2_found, "p2_golden": p2_golden, "p5_found": p5_found, "p5_cleaned": p5_cleaned, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_repaired": p9_repaired}
+QUERIES = {"p6_found": p6_found, "p6_entities": p6_entities, "p2_found": p2_found, "p2_golden": p2_golden, "p5_found": p5_found, "p5_cleaned": p5_cleaned, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_repaired": p9_repaired}
 SQL: dict[str, str] = {}
