@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folhario.llm import boilerplate, leaks, mojibake, survivor, tokens, variants
+from folhario.llm import boilerplate, canonical, leaks, mojibake, survivor, tokens, variants
 from folhario.runtime import spread, table
 
 
@@ -14,6 +14,15 @@ def p2_golden(spark, sf_dir):
     return survivor.golden(table(spark, sf_dir, "dados_diretoria_especial_v5"), table(spark, sf_dir, "extraction_methods"))
 
 
+def p4_found(spark, sf_dir):
+    fields = {
+        "especialidade": ("trade", table(spark, sf_dir, "especialidades_ref"), "especialidade_id", "especialidade"),
+        "comarca": ("place", table(spark, sf_dir, "comarcas_ref"), "comarca_id", "comarca"),
+        "perito_nome": ("person", table(spark, sf_dir, "peritos_ref"), "perito_id", "perito"),
+    }
+    return canonical.canonical(table(spark, sf_dir, "dados_diretoria_especial_v5"), fields)
+
+
 def p5_found(spark, sf_dir):
     return boilerplate.repeated_lines(table(spark, sf_dir, "pages"), table(spark, sf_dir, "caches"))
 
@@ -53,5 +62,5 @@ def p9_repaired(spark, sf_dir):
     return mojibake.repair_corpus(docs).where("garbled").select("doc_id", "repaired")
 
 
-QUERIES = {"p6_found": p6_found, "p6_entities": p6_entities, "p2_found": p2_found, "p2_golden": p2_golden, "p5_found": p5_found, "p5_cleaned": p5_cleaned, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_repaired": p9_repaired}
+QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p6_entities": p6_entities, "p2_found": p2_found, "p2_golden": p2_golden, "p5_found": p5_found, "p5_cleaned": p5_cleaned, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_repaired": p9_repaired}
 SQL: dict[str, str] = {}
