@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from folhario.llm import boilerplate, canonical, leaks, mojibake, survivor, tokens, variants
+from folhario.llm import boilerplate, canonical, leaks, mojibake, pii, survivor, tokens, variants
 from folhario.runtime import spread, table
 
 
+def p1_found(spark, sf_dir):
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "text"))
+    fields = spread(table(spark, sf_dir, "dados_diretoria_especial_v5").select("rec_id", "cpf_perito"))
+    return pii.find_items(pages, "page_id", "text", "pages").unionByName(pii.find_items(fields, "rec_id", "cpf_perito", "dados_diretoria_especial_v5"))
+
+
+def p1_redacted(spark, sf_dir):
+    return pii.redact(spread(table(spark, sf_dir, "pages").select("page_id", "text"))).select("page_id", "redacted")
+
+
 def p2_found(spark, sf_dir):
     return survivor.survivors(table(spark, sf_dir, "dados_diretoria_especial_v5"), table(spark, sf_dir, "extraction_methods"))
 
@@ -62,5 +72,5 @@ def p9_repaired(spark, sf_dir):
     return mojibake.repair_corpus(docs).where("garbled").select("doc_id", "repaired")
 
 
-QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p6_entities": p6_entities, "p2_found": p2_found, "p2_golden": p2_golden, "p5_found": p5_found, "p5_cleaned": p5_cleaned, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_repaired": p9_repaired}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p6_found": p6_found, "p6_entities": p6_entities, "p2_found": p2_found, "p2_golden": p2_golden, "p5_found": p5_found, "p5_cleaned": p5_cleaned, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_repaired": p9_repaired}
 SQL: dict[str, str] = {}
