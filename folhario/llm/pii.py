@@ -63,6 +63,8 @@ PHONE = re.compile(r"(?:\+\s?\d{2}\s?)?\(?\s?\d[\d\s().\-]{5,20}\d")
 MAIL = re.compile(r"[\w.+\-]+\s?(?:@|\(at\)|\[at\]|\[arroba\]|\(arroba\)|\barroba\b)\s?[\w\-]+(?:\s?(?:\.|\bponto\b)\s?[\w\-]+)+", re.I)
 STREET = re.compile(r"\b(?:" + "|".join(sorted(pii_table.STREET_WORDS | {"r"}, key=len, reverse=True)) + r")\b", re.I)
 TITLE = re.compile(r"(?:(?:[oa]\s+)?(?:exm[oa]|ilm[oa]|sr|sra|srta|dr|dra|prof|profa|des|dona)\b\.?\s*(?:\(a\)\.?)?\s*)+", re.I)
+ROAD = re.compile(r"(?:r\.|rua|av\.|avenida|trav\.|travessa|praça|alameda|ladeira|rodovia|qd\.)\s+(?:dona|padre|coronel|conselheiro|doutor|barão|dom|frei|general|major)\b", re.I)
+NUMBER = re.compile(r",?\s+(?:n\s*[.º°o]{0,2}\s*)?\d|,\s+(?:s/n|km)", re.I)
 WORDS = re.compile(r"[^\W\d_]+")
 _NOT_FIRST = frozenset("de da do das dos e o a".split())
 
@@ -131,7 +133,10 @@ def items(texts: list[str | None], m: Model) -> list[list[tuple[int, int, str]]]
             last = -1
             for run in np.split(marked, cuts):
                 kind = LABELS[labels[run[0]]]
-                place = checked(kind, text, int(starts[run[0]]), int(starts[run[-1]]) + len(tokens[run[-1]]))
+                a, b = int(starts[run[0]]), int(starts[run[-1]]) + len(tokens[run[-1]])
+                if kind == "name" and ROAD.match(text, a) and NUMBER.search(text, a, min(len(text), b + 10)):
+                    kind = "address"  # a street named after a person, short form included
+                place = checked(kind, text, a, b)
                 if place and place[0] > last:
                     found.append((*place, kind))
                     last = place[1] - 1
