@@ -1,7 +1,7 @@
 """Lines repeated across the documents of one source, named and removed.
 
-Lines are compared by a key without numbers, dates, codes, case, accents, spacing and
-punctuation. First pass: a mergeable heavy-hitter sketch of the keys of each source,
+Lines are compared by a key without numbers, dates, codes, case, accents, vowels, spacing
+and punctuation. First pass: a mergeable heavy-hitter sketch of the keys of each source,
 built map-side and merged, so neither a source that holds a third of all pages nor the
 number of different lines matters. Second pass: exact counts of the candidates, taking
 in lines that differ from one by a misread character or two. Lines that stand on enough
@@ -25,23 +25,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folhario.functions.values import _LESS, _WITH
 from folhario.runtime import broadcast_if_small, cut
 
 SHARE = 0.15
 FIELDS = ("header", "footer", "text")
-_MONTHS = "janeiro|fevereiro|marco|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro"
+_MONTHS = "janeiro|fevereiro|mar[cç]o|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro"
 
 
 def line_keys(c: Column) -> Column:
     """A text's lines as an array of keys; a blank line's key is empty.
 
-    The whole text is folded at once, line ends kept, and split afterwards.
+    The whole text is folded at once, line ends kept, and split afterwards. Vowels, with
+    or without accents, are left out of keys: misread and unaccented letters are mostly
+    vowels, and lines that differ in nothing else are one line anyway.
     """
-    t = F.translate(F.lower(c), _WITH.lower() + "\r", _LESS[: len(_WITH.lower())].lower() + " ")
+    t = F.lower(c)
     t = F.regexp_replace(t, r"[^\p{L}\p{N}\n]+", " ")
-    t = F.regexp_replace(t, r"(?<=[a-z])0(?=[a-z])|(?<=[a-z]{2})0(?![0-9a-z])", "o")
+    t = F.regexp_replace(t, r"(?<=[a-zà-ý])0(?=[a-zà-ý])|(?<=[a-zà-ý]{2})0(?![0-9a-z])", "o")
     t = F.regexp_replace(t, rf"[a-z]*\d[a-z\d]*(?: (?:de )?(?:(?:{_MONTHS}) )?(?:de )?(?=[a-z]*\d)[a-z\d]+)*", "#")
+    t = F.replace(t, F.lit("ç"), F.lit("c"))
+    t = F.regexp_replace(t, r"[aeiouà-æè-öø-ý\p{Mn}]+", "")
     return F.transform(F.split(t, "\n"), lambda x: F.trim(x))
 
 
@@ -75,7 +78,7 @@ def _clusters(lists: pd.Series) -> pd.Series:
 
 def allowance(n: int) -> int:
     """Edits by which keys of n characters may differ and still be one line."""
-    return 0 if n < 6 else 1 if n < 12 else 2 if n < 30 else 3
+    return 0 if n < 5 else 1 if n < 10 else 2 if n < 20 else 3
 
 
 def _edits(a: str, b: str) -> int:
@@ -99,7 +102,7 @@ def candidates(paged: DataFrame, n_fields: int, share: float, tracked: int, slac
 
 def repeated_lines(pages: DataFrame, sources: DataFrame, key: str = "page_id", link: str = "cache_id", source: str = "source", fields: Sequence[str] = FIELDS, share: float = SHARE, tracked: int = 4096, slack: float = 0.4, small: int = 500_000, small_sources: int = 50_000) -> DataFrame:
     """(page_id, field_name, line_no) of every line to remove, line numbers from 1."""
-    paged = _pages(pages, sources, key, link, source, fields, small)
+    paged = cut(_pages(pages, sources, key, link, source, fields, small))
     cands = cut(candidates(paged, len(fields), share, tracked, slack))
     # one bounded list of candidates a source; the number of sources is checked before the broadcast
     met = paged.join(broadcast_if_small(cands, small_sources), "_source")
@@ -112,7 +115,7 @@ def repeated_lines(pages: DataFrame, sources: DataFrame, key: str = "page_id", l
     k = F.col("e.k")
     n = F.length(k)
     third = F.greatest(F.floor(n / 4), F.lit(1)).cast("int")
-    allow = F.when(n < 6, 0).when(n < 12, 1).when(n < 30, 2).otherwise(3)
+    allow = F.when(n < 5, 0).when(n < 10, 1).when(n < 20, 2).otherwise(3)
     # with three edits at most, one of a line's four quarters is left whole, so it stands in the candidate
     parts = [F.substring(k, F.lit(1), third), F.substring(k, third + 1, third), F.substring(k, 2 * third + 1, third), F.substring(k, 3 * third + 1, n)]
     place = F.array_position("_keys", k)
