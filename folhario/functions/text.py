@@ -61,7 +61,7 @@ def bottom_lines(c: Column, n: int) -> Column:
 
 def full_lines(c: Column) -> Column:
     """Trimmed lines that aren't blank."""
-    return F.filter(F.transform(lines(c), F.trim), lambda x: x != "")
+    return F.filter(F.transform(lines(c), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def nth(a: Column, n: int) -> Column:
