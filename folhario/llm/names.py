@@ -24,7 +24,7 @@ NICKNAMES = {
     "mundinho": "raimundo", "raimundinho": "raimundo", "tonho": "antonio", "toninho": "antonio", "toinho": "antonio", "edu": "eduardo eduarda", "duda": "eduardo eduarda",
     "beto": "roberto gilberto alberto humberto", "lourdinha": "lourdes", "nanda": "fernanda", "nando": "fernando", "guto": "augusto gustavo", "guga": "gustavo",
     "tiao": "sebastiao", "leo": "leandro leonor leonardo", "ju": "julia juliana", "lena": "helena", "nato": "renato", "quim": "joaquim", "isa": "isaura isabel",
-    "cacilda": "cacilda", "ceica": "conceicao", "fafa": "fatima", "nena": "irene", "nono": "leonor", "rosinha": "rosa", "zezinho": "jose", "pedrinho": "pedro", "marquinhos": "marcos",
+    "cacilda": "cacilda", "ceica": "conceicao", "fafa": "fatima", "nena": "irene", "nono": "leonor", "giba": "gilberto", "gil": "gilberto", "toni": "antonio", "sil": "silvia", "lia": "eliane", "nata": "natalia", "marcao": "marcos", "rosinha": "rosa", "zezinho": "jose", "pedrinho": "pedro", "marquinhos": "marcos",
     "carlinhos": "carlos", "jorginho": "jorge", "luisinho": "luis", "paulinha": "paula", "martinha": "marta", "claudinha": "claudia", "serginho": "sergio", "kiko": "francisco",
 }
 NICK = {k: frozenset(v.split()) for k, v in NICKNAMES.items()}
@@ -104,7 +104,7 @@ def parse(text: str | None) -> Name:
     ends = [w for w in words[:1] + [w for w in words if w not in LEGAL and w not in ("me", "s", "a")][-1:] if kind_of(w)]
     kinds = ends or [w for w in words if kind_of(w) and len(w) > 6]
     if kinds:
-        told = tuple(w for w in words if not kind_of(w) and not common(w) and len(w) > 2)
+        told = tuple(w for w in words if not kind_of(w) and not common(w) and len(w) > 2 and skeleton(w) not in PARTICLES)
         return Name("org", told, "", kind_of(kinds[0]), acronym)
     hints = [TELLING[w] for w in words[1:] if w in TELLING]
     if hints and (len(words[0]) <= 2 or set(words) & LEGAL):
@@ -126,7 +126,7 @@ def parse(text: str | None) -> Name:
                 continue
             for x in bare.split("."):
                 x = unread(x.replace("'", ""))
-                if x and x not in PARTICLES and not x.isdigit():
+                if x and x not in PARTICLES and not x.isdigit() and not (len(x) <= 4 and out and skeleton(x) in PARTICLES):
                     out.append(x if len(x) > 1 else x + ".")
         sides.append(out)
     if len(sides) == 2 and sides[1]:
@@ -220,7 +220,10 @@ def given_match(a: str, b: str, given: frozenset[str] | set[str]) -> int | None:
         return 0
     if a in given and b in given:
         return None
-    return spelled(a, b)
+    d = spelled(a, b)
+    if d is None and (a in given or b in given) and min(len(a), len(b)) == 3 and osa(a, b, 1) <= 1:
+        return 1  # a letter lost from a short name
+    return d
 
 
 class Agreement(NamedTuple):
