@@ -264,7 +264,7 @@ def money_parse(spark, sf_dir):
     return table(spark, sf_dir, DADOS).select("rec_id", text.parse_money(F.col("valor_arbitrado")).cast("double").alias("amount"))
 
 
-DATES = r"""WITH d AS (SELECT page_id, regexp_extract(coalesce(text, ''), '(\d{1,2}) de ([a-zç]+) de (\d{4})', ['d', 'm', 'y']) AS x FROM pages WHERE regexp_matches(text, '\d{1,2} de [a-zç]+ de \d{4}')) SELECT page_id, strftime(try_strptime(x.y || '-' || lpad(CAST(list_position(['janeiro','fevereiro','março','abril','maio','junho','julho','agosto','setembro','outubro','novembro','dezembro'], x.m) AS VARCHAR), 2, '0') || '-' || lpad(x.d, 2, '0'), '%Y-%m-%d'), '%Y-%m-%d') AS day FROM d"""
+DATES = r"""WITH d AS (SELECT page_id, regexp_extract(coalesce(text, ''), '(\d{1,2}) de ([a-zç]+) de (\d{4})', ['d', 'm', 'y']) AS x FROM pages WHERE regexp_matches(text, '\d{1,2} de [a-zç]+ de \d{4}')) SELECT page_id, strftime(try_strptime(x.y || '-' || lpad(CAST(list_position(['janeiro','fevereiro','marco','abril','maio','junho','julho','agosto','setembro','outubro','novembro','dezembro'], strip_accents(x.m)) AS VARCHAR), 2, '0') || '-' || lpad(x.d, 2, '0'), '%Y-%m-%d'), '%Y-%m-%d') AS day FROM d"""
 
 
 @plan(DATES)
