@@ -133,12 +133,12 @@ def repeated_lines(pages: DataFrame, sources: DataFrame, key: str = "page_id", l
 
 def strip_lines(pages: DataFrame, removed: DataFrame, key: str = "page_id", fields: Sequence[str] = FIELDS) -> DataFrame:
     """`pages` without the lines in `removed`; fields that were null stay null."""
-    gone = removed.groupBy(F.col(key).alias("_page")).agg(*[F.collect_set(F.when(F.col("field_name") == f, F.col("line_no"))).alias(f"_g{i}") for i, f in enumerate(fields)])
-    joined = pages.join(gone, pages[key] == gone["_page"], "left")
+    gone = removed.groupBy(F.col(key).alias("__page")).agg(*[F.collect_set(F.when(F.col("field_name") == f, F.col("line_no"))).alias(f"__g{i}") for i, f in enumerate(fields)])
+    joined = pages.join(gone, pages[key] == gone["__page"], "left")
 
     def left(f: str, i: int) -> Column:
-        kept = F.filter(F.split(F.col(f), "\n"), lambda x, n: ~F.coalesce(F.array_contains(f"_g{i}", (n + 1).cast("int")), F.lit(False)))
-        return F.when(F.col("_page").isNull(), F.col(f)).otherwise(F.array_join(kept, "\n"))
+        kept = F.filter(F.split(pages[f], "\n"), lambda x, n: ~F.coalesce(F.array_contains(f"__g{i}", (n + 1).cast("int")), F.lit(False)))
+        return F.when(F.col("__page").isNull(), pages[f]).otherwise(F.array_join(kept, "\n"))
 
     new = {f: left(f, i) for i, f in enumerate(fields)}
     return joined.select(*[new[c].alias(c) if c in new else pages[c] for c in pages.columns])

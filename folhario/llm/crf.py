@@ -30,8 +30,9 @@ def tokenise(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     before[1:] = np.maximum(gap[:-1], 0)
     if len(parts) > 1:  # blanks at the start of a new line don't hide the line end
         before[2:] = np.where((gap[1:-1] == 1) & (gap[:-2] == 2), 2, before[2:])
-    before[0] = 2
-    return [parts[i] for i in keep], starts[keep], before[keep]
+    before = before[keep]
+    before[:1] = 2
+    return [parts[i] for i in keep], starts[keep], before
 
 
 def shape(token: str) -> str:

@@ -13,6 +13,8 @@ import unicodedata
 from functools import lru_cache
 from typing import NamedTuple
 
+from folhario.llm.pii_table import GIVEN
+
 PARTICLES = frozenset("de da do das dos e d del".split())
 TITLES = frozenset("dr dra sr sra srta sra. prof profa perito perita expert exmo exma ilmo ilma eng enga adv dona seu o a".split())
 SUFFIXES = {"filho": "filho", "fo": "filho", "f.o": "filho", "fi": "filho", "junior": "junior", "jr": "junior", "jnr": "junior", "jun": "junior", "neto": "neto", "nto": "neto", "nt": "neto", "n.to": "neto", "sobrinho": "sobrinho"}
@@ -47,6 +49,10 @@ COMMON = frozenset(
 #: Words that tell the kind of organisation where its leading word is only a letter.
 TELLING = {"saude": "fundo", "previdencia": "instituto", "prev": "instituto", "estradas": "departamento", "estr": "departamento", "transito": "autarquia", "trans": "autarquia", "defesa": "agencia", "obras": "superintendencia", "energia": "distribuidora", "aguas": "companhia", "agricola": "cooperativa", "maternidade": "hospital"}
 LEGAL = frozenset("ltda sa epp eireli filial matriz".split())
+#: Common given names, folded, that are known for names before any are learnt.
+COMMON_GIVEN = frozenset(
+    unicodedata.normalize("NFKD", g).encode("ascii", "ignore").decode().lower() for g in GIVEN
+)
 _WORDS = re.compile(r"[^\W_]+(?:[.'][^\W_]+)*\.?")
 
 
@@ -184,7 +190,10 @@ def spelled(a: str, b: str) -> int | None:
     if sa == sb:
         return 0
     most = allowed(a, b)
-    d = min(osa(sa, sb, most), osa(a, b, most))
+    d = osa(a, b, most)
+    if d > most:
+        most = min(most, allowed(sa, sb))
+        d = osa(sa, sb, most)
     return d if d <= most else None
 
 
@@ -218,6 +227,8 @@ def given_match(a: str, b: str, given: frozenset[str] | set[str]) -> int | None:
         return 0 if a[0] == b[0] else None
     if b in NICK.get(a, ()) or a in NICK.get(b, ()):
         return 0
+    if skeleton(a) == skeleton(b):
+        return 0
     if a in given and b in given:
         return None
     d = spelled(a, b)
