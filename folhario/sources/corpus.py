@@ -65,3 +65,38 @@ def inbox(spark: SparkSession, path: str, pattern: str = "*.pdf", recursive: boo
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).load(path)
     out = files.select("path", F.col("modificationTime").alias("created_at"), F.col("length").alias("file_size"), F.sha2("content", 256).alias("sha256"), "content")
     return out.orderBy("path").limit(most) if most else out
+
+
+def zip_entries(spark: SparkSession, path: str, pattern: str = "*.zip") -> DataFrame:
+    """(path, entry, name, size, content) of every file in the archives of a folder, in archive order; an unreadable archive gives one row with its error."""
+    import io
+    import zipfile
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for where, body in zip(batch["path"], batch["content"]):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(body)) as z:
+                        for i, x in enumerate(z.infolist(), 1):
+                            if not x.is_dir():
+                                yield pd.DataFrame([(where, i, x.filename, x.file_size, z.read(x), None)], columns=["path", "entry", "name", "size", "content", "error"])
+                except zipfile.BadZipFile as e:
+                    yield pd.DataFrame([(where, 0, None, 0, None, str(e))], columns=["path", "entry", "name", "size", "content", "error"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    return files.select("path", "content").mapInPandas(run, "path string, entry int, name string, size long, content binary, error string")
+
+
+def settings(defaults: dict, *layers: dict | None) -> dict:
+    """Settings with later layers over earlier ones; nulls don't hide a value, nested settings are merged."""
+    out = dict(defaults)
+    for layer in layers:
+        for k, v in (layer or {}).items():
+            if isinstance(v, dict) and isinstance(out.get(k), dict):
+                out[k] = settings(out[k], v)
+            elif v is not None:
+                out[k] = v
+    return out

@@ -72,6 +72,26 @@ def test_sources(spark, tmp_path):
     assert [(r.file_size, r.sha256[:8]) for r in one] == [(6, __import__("hashlib").sha256(b"%PDF-1").hexdigest()[:8])]
 
 
+def test_archives_and_settings(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x.pdf", b"%PDF")
+        z.writestr("d/", b"")
+        z.writestr("y.txt", b"abc")
+    (tmp_path / "bad.zip").write_bytes(b"no archive")
+    got = rows(corpus.zip_entries(spark, str(tmp_path)).na.fill("-"), "entry", "name", "size")
+    assert got == [(0, "-", 0), (1, "x.pdf", 4), (3, "y.txt", 3)]
+    assert corpus.settings({"a": 1, "b": {"c": 2, "d": 3}}, None, {"a": None, "b": {"c": 5}}) == {"a": 1, "b": {"c": 5, "d": 3}}
+
+
+def test_pruning_takes_whole_branches(spark):
+    from folhario.operators import tree
+
+    nodes = spark.createDataFrame([("k", "0", True), ("k", "0.0", False), ("k", "0.0.1", True), ("k", "0.1", True), ("k", "10", None)], "key string, node_id string, ok boolean")
+    assert rows(tree.prune(nodes, F.col("ok")), "node_id") == [("0",), ("0.1",)]
+
+
 def test_nearest_against_brute_force(spark):
     r = random.Random(4)
     entries = [(g, float(r.randrange(100)), i) for i in range(40) for g in [r.choice("ab")]]
