@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from folhario.llm import boilerplate, canonical, leaks, mojibake, pii, survivor, tokens, variants
+from folhario.plans.records import _filled, _fold
 from folhario.runtime import spread, table
 
 
@@ -73,4 +74,13 @@ def p9_repaired(spark, sf_dir):
 
 
 QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p6_found": p6_found, "p6_entities": p6_entities, "p2_found": p2_found, "p2_golden": p2_golden, "p5_found": p5_found, "p5_cleaned": p5_cleaned, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_repaired": p9_repaired}
-SQL: dict[str, str] = {}
+_FULL = " + ".join(f"CAST({_filled(c)} AS INT)" for c in survivor.FIELDS)
+SQL: dict[str, str] = {
+    "p2_found": f"""WITH a AS (SELECT *, regexp_replace(lower(processo), '^\\s*(processo|process|proc|adme)\\b\\W*(n\\s*[ºo°.]+)?', '') AS bare, regexp_extract(source_file, '([^/\\\\]*)$', 1) AS name FROM dados_diretoria_especial_v5),
+b AS (SELECT *, regexp_replace(translate(bare, 'oli|', '0111'), '\\D', '', 'g') AS digits, nullif(ltrim(regexp_extract(name, '(\\d{{6,}})', 1), '0'), '') AS f FROM a),
+c AS (SELECT *, CASE WHEN regexp_matches(bare, '\\d') AND length(digits) >= 5 THEN digits END AS p FROM b),
+k AS (SELECT f, max_by(p, n * 100000000000000 + TRY_CAST(p AS BIGINT)) AS known FROM (SELECT f, p, count(*) AS n FROM c WHERE f IS NOT NULL AND p IS NOT NULL GROUP BY f, p) GROUP BY f),
+g AS (SELECT c.rec_id, coalesce(c.p, k.known, 'file ' || c.f) AS g, c.start_page, {_FULL} AS filled, coalesce(m.trust_rank, 1000000) AS rank, c.extraction_date FROM c LEFT JOIN k ON k.f = c.f AND c.p IS NULL
+  LEFT JOIN extraction_methods m ON replace({_fold('m.extraction_method')}, ' ', '') = replace({_fold('c.extraction_method')}, ' ', '') WHERE c.start_page IS NOT NULL AND (c.p IS NOT NULL OR c.f IS NOT NULL))
+SELECT rec_id, first_value(rec_id) OVER (PARTITION BY g, start_page ORDER BY filled DESC, rank, extraction_date DESC NULLS LAST, rec_id) AS survivor_id FROM g QUALIFY count(*) OVER (PARTITION BY g, start_page) > 1""",
+}
