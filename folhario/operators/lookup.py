@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,23 +29,32 @@ def prioritised(rows: DataFrame, catalogue: DataFrame, keys: list[tuple[str, flo
 def nearest(rows: DataFrame, table: DataFrame, group: str, amount: str, value: str, order: str, tolerance: float) -> DataFrame:
     """`rows` with the entry of their group whose `value` is nearest to `amount`, within a relative tolerance.
 
-    Both sides are put in one order by value within each group; the nearest entry is the
-    last one before or the first one after, so no row meets all entries. Amounts are
-    grouped first (a group holds each amount once), so repeated rows cost nothing more.
+    Values are put in buckets whose width is the tolerance on a logarithmic scale, so an
+    entry within reach lies in the amount's bucket or beside it: entries stand in three
+    buckets, amounts in one. In a bucket both are put in one order, and the nearest entry
+    is the last one before or the first one after. No row meets all entries, a hot group
+    is spread over its buckets, and repeated amounts are joined once.
+
+    Ties go to the smallest `order`; an amount of 0 or null matches nothing.
     """
-    entries = table.select(F.col(group), F.col(value).alias("_x"), F.struct(F.col(value).alias("v"), (-F.col(order)).alias("o")).alias("_e"))
-    best = entries.groupBy(group, "_x").agg(F.max("_e").alias("_e"))
-    both = rows.select(group, amount).where(F.col(amount).isNotNull()).distinct().withColumn("_x", F.col(amount)).withColumn("_e", F.lit(None).cast(best.schema["_e"].dataType)).withColumn("_row", F.lit(True)).unionByName(best.withColumn("_row", F.lit(False)), allowMissingColumns=True)
-    w = Window.partitionBy(group).orderBy("_x", "_row")
-    below = F.last("_e", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    above = F.first("_e", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    met = both.withColumn("_b", below).withColumn("_a", above).where("_row")
-    diff = lambda e: F.abs(F.col(f"{e}.v") - F.col(amount))
-    take_below = F.col("_a").isNull() | (diff("_b") < diff("_a")) | ((diff("_b") == diff("_a")) & (F.col("_b.o") >= F.col("_a.o")))
-    pick = F.when(take_below, F.col("_b")).otherwise(F.col("_a"))
-    out = met.withColumn("_p", pick).withColumn("_d", F.abs(F.col("_p.v") - F.col(amount)) / F.when(F.col(amount) == 0, F.lit(None)).otherwise(F.abs(F.col(amount))))
-    fits = F.coalesce(F.col("_d") <= tolerance, F.lit(False))
-    found = out.select(group, amount, F.when(fits, F.col("_p.v")).alias("matched_value"), F.when(fits, -F.col("_p.o")).alias("matched"))
+    wide = -math.log(1 - tolerance) if 0 < tolerance < 1 else None
+
+    def bucket(c: Column) -> Column:
+        return F.when(c != 0, F.signum(c) * (F.floor(F.log(F.abs(c)) / wide) + 10_000)).cast("bigint") if wide else F.lit(0).cast("bigint")
+
+    best = table.where(F.col(value).isNotNull()).groupBy(F.col(group), F.col(value).alias("_x")).agg(F.max(F.struct(F.col(value).alias("v"), (-F.col(order)).alias("o"))).alias("_e"))
+    around = F.explode(F.array(*[bucket(F.col("_x")) + d for d in ((-1, 0, 1) if wide else (0,))]))
+    entries = best.withColumn("_b", around).withColumn("_row", F.lit(False))
+    asked = rows.select(group, amount).where(F.col(amount) != 0).distinct()
+    both = asked.withColumn("_x", F.col(amount)).withColumn("_b", bucket(F.col(amount))).withColumn("_row", F.lit(True)).unionByName(entries, allowMissingColumns=True)
+    up = Window.partitionBy(group, "_b").orderBy("_x", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(group, "_b").orderBy(F.desc("_x"), "_row").rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("_low", F.last("_e", ignorenulls=True).over(up)).withColumn("_high", F.last("_e", ignorenulls=True).over(down)).where("_row")
+    off = lambda e: F.abs(F.col(f"{e}.v") - F.col(amount))
+    take_low = F.col("_high").isNull() | (off("_low") < off("_high")) | ((off("_low") == off("_high")) & (F.col("_low.o") >= F.col("_high.o")))
+    picked = met.withColumn("_p", F.when(F.col("_low").isNotNull() & take_low, F.col("_low")).otherwise(F.col("_high")))
+    fits = F.coalesce(F.abs(F.col("_p.v") - F.col(amount)) / F.abs(F.col(amount)) <= tolerance, F.lit(False))
+    found = picked.select(group, amount, F.when(fits, F.col("_p.v")).alias("matched_value"), F.when(fits, -F.col("_p.o")).alias("matched"))
     return rows.join(found, [group, amount], "left")
 
 
