@@ -21,11 +21,10 @@ either side gives no rows.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -38,25 +37,31 @@ MASKS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 2, 4), (0, 1, 4), (0, 3, 4))
 #: What a replaced, dropped or added word costs against the 1 of an agreeing word, and the
 #: least part of a stretch's words that must be left after that.
 MISMATCH, AGREE = 2.6, 0.6
-_STRIP = re.compile(r"[^a-z0-9]+")
 _LOOKALIKE = str.maketrans("0158", "olsb")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def fold(text: str) -> list[str]:
-    """The words of a text, without case, accents and punctuation."""
+_DROP = bytes(c for c in range(128) if not (chr(c).isalnum() or chr(c).isspace()))
+
+
+def pieces(text: str) -> list[str]:
+    """The words of a text, without case, accents and punctuation; all in C, whatever the text's length."""
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    out = []
-    for word in text.lower().split():
-        w = word if word.isalnum() and word.isascii() else _STRIP.sub("", word)
-        if w:
-            if not w.isdigit() and not w.isalpha() and w[0].isalpha():
-                w = w.translate(_LOOKALIKE)
-            out.append(w)
-    return out
+        text = unicodedata.normalize("NFKD", text)
+    return text.encode("ascii", "ignore").lower().translate(None, _DROP).decode("ascii").split()
+
+
+def unmixed(word: str) -> str:
+    """A word with digits that stand for letters put back."""
+    return word.translate(_LOOKALIKE) if word[0].isalpha() and not word.isalpha() else word
+
+
+def fold(text: str) -> list[str]:
+    """`pieces` with look-alike digits put back."""
+    return [unmixed(w) for w in pieces(text)]
 
 
+@lru_cache(maxsize=100_000)
 def near(a: str, b: str) -> bool:
     """Whether two words may be one, misread: an edit or, in long words, two."""
     if a == b:
@@ -114,30 +119,64 @@ class Index:
         h[~known] = 0
         return h
 
-    def hits(self, words: list[str]) -> dict[int, set[tuple[int, int]]]:
-        """item -> (document position, passage position) pairs of agreeing words."""
+    def ids(self, words: list[str]) -> np.ndarray:
+        """Word numbers; 0 for words that no passage has, tried again with look-alike digits put back."""
         get = self.words.get
-        ids = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
-        out: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        if not len(self.keys) or np.count_nonzero(ids) < 3:
+        out = np.fromiter((get(w, 0) or (0 if w.isalpha() or w.isdigit() else get(unmixed(w), 0)) for w in words), np.uint64, len(words))
+        return out
+
+    def hits(self, batch: list[list[str]], least: int = 1) -> dict[int, dict[int, list[tuple[int, int]]]]:
+        """document -> item -> (document position, passage position) pairs of agreeing words, in order.
+
+        The documents of a batch are hashed as one row of numbers, with unknown words
+        between them so that no window reaches from one into the next. Items of which
+        fewer than `least` different words agree are left out.
+        """
+        gap = max(m[-1] for m in MASKS)
+        sizes = np.array([len(w) + gap for w in batch], dtype=np.int64)
+        out: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(dict)
+        if not len(self.keys) or not len(batch):
             return out
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        row = np.zeros(int(sizes.sum()), np.uint64)
+        for s, words in zip(starts, batch):
+            row[s : s + len(words)] = self.ids(words)
+        parts = []
         for m, mask in enumerate(MASKS):
-            h = self.hashes(ids, mask, m)
+            h = self.hashes(row, mask, m)
             at = np.flatnonzero(h)
             if not len(at):
                 continue
             where = np.searchsorted(self.keys, h[at])
             where[where == len(self.keys)] = 0
             good = self.keys[where] == h[at]
-            for k, w in zip(at[good].tolist(), where[good].tolist()):
-                for x in range(self.first[w], self.end[w]):
-                    n, q = int(self.n[x]), int(self.q[x])
-                    for p in mask:
-                        out[n].add((k + p, q + p))
+            at, where = at[good], where[good]
+            # every place of the hash in the index, as one flat list
+            many = self.end[where] - self.first[where]
+            flat = np.repeat(self.first[where] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(int(many.sum())) if len(at) else np.empty(0, np.int64)
+            k, n, q = np.repeat(at, many), self.n[flat].astype(np.int64), self.q[flat].astype(np.int64)
+            parts += [np.stack([k + p, n, q + p]) for p in mask]
+        if not parts:
+            return out
+        k, n, q = np.concatenate(parts, axis=1)
+        d = np.searchsorted(starts, k, side="right") - 1
+        order = np.lexsort((q, k, n, d))
+        d, n, k, q = d[order], n[order], k[order], q[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (np.diff(k) != 0) | (np.diff(q) != 0) | (np.diff(n) != 0)
+        d, n, k, q = d[new], n[new], k[new], q[new]
+        first = np.flatnonzero(np.concatenate(([True], (np.diff(d) != 0) | (np.diff(n) != 0))))
+        for i, j in zip(first.tolist(), [*first[1:].tolist(), len(k)]):
+            if j - i >= least and len(np.unique(q[i:j])) >= least:
+                out[int(d[i])][int(n[i])] = list(zip((k[i:j] - starts[d[i]]).tolist(), q[i:j].tolist()))
         return out
 
 
-def stretches(pairs: set[tuple[int, int]], doc: list[str], passage: list[str]) -> list[tuple[int, int, int, int]]:
+#: Steps back from an agreeing word over one or two words that don't agree: in the document, in the passage, at most skipped.
+STEPS = tuple((dk, dq, max(dk, dq) - 1) for dk in (1, 2, 3) for dq in (1, 2, 3) if (dk, dq) != (1, 1))
+
+
+def stretches(pairs: list[tuple[int, int]], doc: list[str], passage: list[str]) -> list[tuple[int, int, int, int]]:
     """Aligned stretches (doc start, doc end, passage start, passage end), ends included.
 
     A stretch is a chain of agreeing words; between two of them at most two words may be
@@ -145,21 +184,22 @@ def stretches(pairs: set[tuple[int, int]], doc: list[str], passage: list[str]) -
     in their slots don't chain.
     """
     best: dict[tuple[int, int], tuple[float, tuple[int, int]]] = {}
-    for k, q in sorted(pairs):
+    get = best.get
+    for k, q in pairs:
         score, start = 1.0, (k, q)
-        for dk in (1, 2, 3):
-            for dq in (1, 2, 3):
-                prev = best.get((k - dk, q - dq))
-                if prev is None:
-                    continue
-                if dk == dq == 1:
-                    gain = 1.0
-                elif dk == dq:
-                    gain = 1.0 + sum(0.8 if near(doc[k - x], passage[q - x]) else -MISMATCH for x in range(1, dk))
-                else:
-                    gain = 1.0 - MISMATCH * max(dk - 1, dq - 1)
-                if prev[0] + gain > score:
-                    score, start = prev[0] + gain, prev[1]
+        prev = get((k - 1, q - 1))
+        if prev is not None:
+            score, start = prev[0] + 1.0, prev[1]
+        for dk, dq, skipped in STEPS:
+            prev = get((k - dk, q - dq))
+            if prev is None or prev[0] + 0.8 * skipped + 1.0 <= score:
+                continue
+            if dk == dq:
+                gain = prev[0] + 1.0 + sum(0.8 if near(doc[k - x], passage[q - x]) else -MISMATCH for x in range(1, dk))
+            else:
+                gain = prev[0] + 1.0 - MISMATCH * skipped
+            if gain > score:
+                score, start = gain, prev[1]
         best[k, q] = score, start
     by_start: dict[tuple[int, int], tuple[float, tuple[int, int]]] = {}
     for end, (score, start) in best.items():
@@ -187,19 +227,17 @@ def held_words(found: list[tuple[int, int, int, int]]) -> int:
     return most
 
 
-def leaked(index: Index, text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """(item, running words held) of one text."""
-    if not text:
-        return []
-    doc = fold(text)
-    out = []
-    for n, pairs in index.hits(doc).items():
-        if len({q for _, q in pairs}) < min_words // 3:
-            continue
-        key, passage = index.items[n]
-        held = held_words(stretches(pairs, doc, passage))
-        if held >= min_words:
-            out.append((key, held))
+def leaked(index: Index, texts: list[str | None], min_words: int = MIN_WORDS) -> list[list[tuple[int, int]]]:
+    """(item, running words held) of each text."""
+    batch = [pieces(t) if t else [] for t in texts]
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    for d, found in index.hits(batch, min_words // 3).items():
+        doc = [unmixed(w) for w in batch[d]]
+        for n, pairs in found.items():
+            key, passage = index.items[n]
+            held = held_words(stretches(pairs, doc, passage))
+            if held >= min_words:
+                out[d].append((key, held))
     return out
 
 
@@ -219,8 +257,10 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             index = Index(held.value)
             for batch in batches:
-                out = [(d, i, n) for d, t in zip(batch["doc_id"], batch["text"]) for i, n in leaked(index, t, min_words)]
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "words"])
+                for a in range(0, len(batch), 1000):
+                    part = batch.iloc[a : a + 1000]
+                    out = [(d, i, n) for d, got in zip(part["doc_id"], leaked(index, list(part["text"]), min_words)) for i, n in got]
+                    yield pd.DataFrame(out, columns=["doc_id", "item_id", "words"])
 
         parts.append(corpus.mapInPandas(run, f"doc_id {key_type}, item_id long, words int"))
     if not parts:
