@@ -56,6 +56,17 @@ def _runs(name: str) -> re.Pattern:
     return re.compile(f"(?:{cls(0xC2, 0xDF)}{tail}|{cls(0xE0, 0xEF)}{tail}{{2}}|{cls(0xF0, 0xF4)}{tail}{{3}})+")
 
 
+@lru_cache(maxsize=1)
+def _any_run() -> re.Pattern:
+    """The first two characters of a run under any of the encodings: most texts have none and are done with it."""
+    parts = []
+    for name in READ_AS:
+        back = _table(name)[1]
+        cls = lambda lo, hi, back=back: "[" + "".join(re.escape(back[b]) for b in range(lo, hi + 1)) + "]"
+        parts.append(cls(0xC2, 0xF4) + cls(0x80, 0xBF))
+    return re.compile("|".join(parts))
+
+
 def _plausible(text: str) -> bool:
     """Whether a decoded stretch may stand in a text: no controls, no unassigned or private characters."""
     return all(c.isprintable() or c in "\xad​‍‌\xa0﻿ " or "\x80" <= c <= "\x9f" for c in text)
@@ -64,6 +75,8 @@ def _plausible(text: str) -> bool:
 def _utf8_pass(text: str) -> str:
     """One layer of UTF-8 undone, under the encoding whose runs cover most of the text."""
     best, most = text, 0
+    if not _any_run().search(text):
+        return text
     for name in READ_AS:
         to = _table(name)[0]
         gone = 0
@@ -91,9 +104,9 @@ UPPER = set("ÁÀÂÃÉÊÍÓÔÕÚÇÑÜÖÅŒ")
 HOME = set("áàâãéêíóôõúçñ")
 AFTER_NUMBER = set("ºª°²³½¼¾¹")
 WORD = re.compile(r"\S+")
-SUSPECT = re.compile(r"[^\x00-\x7f]")
 
 
+@lru_cache(maxsize=100_000)
 def word_cost(word: str) -> float:
     """How garbled a word looks: characters that can't stand where they do."""
     cost = 0.0
@@ -151,7 +164,7 @@ def _swap(text: str, read: str, written: str) -> str | None:
 
 def _gains(line: str) -> dict[tuple[str, str], tuple[float, dict[str, str]]]:
     """For each pair of encodings how much cheaper the line's words get, and the words it changes."""
-    words = {w for w in WORD.findall(line) if SUSPECT.search(w)}
+    words = {w for w in line.split() if not w.isascii()}
     base = {w: word_cost(w) for w in words}
     if not base or max(base.values()) < 1.5:
         return {}
