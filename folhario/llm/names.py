@@ -69,7 +69,7 @@ class Name(NamedTuple):
 NOTHING = Name("", (), "", "", "")
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=60_000)
 def skeleton(token: str) -> str:
     """A token spelled plainly: like-sounding letters as one, doubled letters single."""
     t = token.replace("ph", "f").replace("th", "t").replace("y", "i").replace("que", "ce").replace("qui", "ci").replace("k", "c").replace("w", "v")
@@ -181,7 +181,7 @@ def allowed(a: str, b: str) -> int:
     return 0 if n < 4 else 1 if n < 7 else 2
 
 
-@lru_cache(maxsize=400_000)
+@lru_cache(maxsize=100_000)
 def spelled(a: str, b: str) -> int | None:
     """Edits between two spellings of one word, or None for two words."""
     if a == b:
