@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from folhario.llm import pii_table
 from folhario.llm.crf import Model, tokenise
+from folhario.llm.names import COMMON_GIVEN, fold, kind_of
 from folhario.runtime import without
 
 LABELS = ("O", *pii_table.KINDS)
@@ -42,7 +43,7 @@ def lexicon() -> dict[str, str]:
 
 
 @lru_cache(maxsize=2)
-def model(rows: int = 1400, seed: int = 11) -> Model:
+def model(rows: int = 2000, seed: int = 11) -> Model:
     """The trained model; the table's size is the bound of the sample it is fitted on."""
     number = {k: i for i, k in enumerate(LABELS)}
     data = []
@@ -65,6 +66,13 @@ STREET = re.compile(r"\b(?:" + "|".join(sorted(pii_table.STREET_WORDS | {"r"}, k
 TITLE = re.compile(r"(?:(?:[oa]\s+)?(?:exm[oa]|ilm[oa]|sr|sra|srta|dr|dra|prof|profa|des|dona)\b\.?\s*(?:\(a\)\.?)?\s*)+", re.I)
 ROAD = re.compile(r"(?:r\.|rua|av\.|avenida|trav\.|travessa|praça|alameda|ladeira|rodovia|qd\.)\s+(?:dona|padre|coronel|conselheiro|doutor|barão|dom|frei|general|major)\b", re.I)
 NUMBER = re.compile(r",?\s+(?:n\s*[.º°o]{0,2}\s*)?\d|,\s+(?:s/n|km)", re.I)
+#: What stands before a name that is no person's: a building, or a street whose word the model left out.
+BUILDING = re.compile(r"\b(?:f[óo]rum|edif[íi]cio|pal[áa]cio|escola)\s+(?:des|dr|dra|prof|min|juiz)\b\.?\s*$", re.I)
+STREET_BEFORE = re.compile(r"\b(?:r\.|rua|av\.|avenida|trav\.|travessa|praça|alameda|ladeira|rodovia|qd\.|beco|estrada|largo)\s+(?:(?:dona|padre|coronel|conselheiro|doutor|barão|dom|frei|general|major)\s+)?$", re.I)
+GIVEN_BEFORE = re.compile(r"([^\W\d_]{3,})\s+$")
+#: A label right before a number settles which number it is.
+LABEL = re.compile(r"\b(CPF|C\.P\.F\.|PIS|NIT|PASEP|RG|Identidade)\b[^\w]{0,3}(?:(?:sob|com|de)\s+)?(?:o\s+)?(?:n\s*[.º°o]{0,2}\s*)?$", re.I)
+LABELLED = {"cpf": "cpf", "c.p.f.": "cpf", "pis": "pis", "nit": "pis", "pasep": "pis", "rg": "rg", "identidade": "rg"}
 WORDS = re.compile(r"[^\W\d_]+")
 _NOT_FIRST = frozenset("de da do das dos e o a".split())
 
@@ -110,8 +118,10 @@ def checked(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
     words = [(w.start(), w.group()) for w in WORDS.finditer(text, a, b)]
     while words and words[0][1] in _NOT_FIRST:
         words.pop(0)
-    if len(words) < 2 or not any(len(w) > 2 for _, w in words):
+    if len(words) < 2 or not any(len(w) > 2 for _, w in words) or kind_of(fold(words[0][1])):
         return None
+    if text[a:b].islower() and not any(fold(w) in COMMON_GIVEN for _, w in words) and len(words[0][1]) > 1:
+        return None  # small letters throughout and no given name: ordinary words
     return words[0][0], b
 
 
@@ -136,6 +146,16 @@ def items(texts: list[str | None], m: Model) -> list[list[tuple[int, int, str]]]
                 a, b = int(starts[run[0]]), int(starts[run[-1]]) + len(tokens[run[-1]])
                 if kind == "name" and ROAD.match(text, a) and NUMBER.search(text, a, min(len(text), b + 10)):
                     kind = "address"  # a street named after a person, short form included
+                elif kind == "name":
+                    before = text[max(0, a - 30) : a]
+                    if BUILDING.search(before):
+                        continue
+                    if (road := STREET_BEFORE.search(before)) and NUMBER.search(text, a, min(len(text), b + 10)):
+                        kind, a = "address", a - len(before) + road.start()
+                    while kind == "name" and (given := GIVEN_BEFORE.search(text, max(0, a - 20), a)) and given.start(1) > last and fold(given.group(1)) in COMMON_GIVEN:
+                        a = given.start(1)  # a given name that the model left outside
+                if kind in ("cpf", "pis", "rg") and (label := LABEL.search(text, max(0, a - 24), a)):
+                    kind = LABELLED[label.group(1).lower()]
                 place = checked(kind, text, a, b)
                 if place and place[0] > last:
                     found.append((*place, kind))
@@ -151,7 +171,7 @@ def _held(df: DataFrame, rows: int, seed: int):
     return df.sparkSession.sparkContext.broadcast(m)
 
 
-def find_items(df: DataFrame, key: str, text: str, table_name: str, rows: int = 1400, seed: int = 11) -> DataFrame:
+def find_items(df: DataFrame, key: str, text: str, table_name: str, rows: int = 2000, seed: int = 11) -> DataFrame:
     """(table_name, row_id, kind, start_pos) of every item in `df[text]`; a map, without a shuffle."""
     held = _held(df, rows, seed)
 
@@ -166,7 +186,7 @@ def find_items(df: DataFrame, key: str, text: str, table_name: str, rows: int =
     return df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).where("t is not null").mapInPandas(run, "table_name string, row_id long, kind string, start_pos int")
 
 
-def redact(df: DataFrame, text: str = "text", rows: int = 1400, seed: int = 11) -> DataFrame:
+def redact(df: DataFrame, text: str = "text", rows: int = 2000, seed: int = 11) -> DataFrame:
     """`df` with `redacted`: the text with a typed placeholder in place of every item, otherwise unchanged."""
     held = _held(df, rows, seed)
     kept = without(df, "redacted")
@@ -188,4 +208,4 @@ def redact(df: DataFrame, text: str = "text", rows: int = 1400, seed: int = 11)
                 done += [one(t, f) for t, f in zip(part, items(part, held.value))]
             yield pd.Series(done, dtype=object)
 
-    return kept.withColumn("redacted", F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)(F.col(text).cast("string")))
+    return kept.withColumn("redacted", F.pandas_udf(run, "string")(F.col(text).cast("string")))

@@ -24,7 +24,8 @@ STREET_WORDS = frozenset("rua avenida av qd q travessa trav tv praça praca pça
 TITLES = frozenset("sr sra dr dra srta prof profa dona des exmo exma ilmo".split())
 PARTICLES = frozenset("de da do das dos e".split())
 MONTHS = "janeiro fevereiro março abril maio junho julho agosto setembro outubro novembro dezembro".split()
-TRADES = "Contador,Médico Psiquiatra,Engenheiro Civil,Psicólogo,Assistente Social,Grafotécnico,Economista,Atuário,Biólogo,Arquiteto e Urbanista,Corretor de Imóveis,Médico do Trabalho,Intérprete de Libras,Analista de Sistemas,Engenheiro de Minas,Leiloeiro,Nutricionista,Químico,Historiador da Arte,Cirurgião-Dentista".split(",")
+TRADES = "Contador,Médico Psiquiatra,Engenheiro Civil,Psicólogo,Assistente Social,Grafotécnico,Economista,Atuário,Biólogo,Arquiteto e Urbanista,Corretor de Imóveis,Médico do Trabalho,Intérprete de Libras,Analista de Sistemas,Engenheiro de Minas,Leiloeiro,Nutricionista,Químico,Historiador da Arte,Cirurgião-Dentista,"
+TRADES = (TRADES + "Médico Ortopedista,Médico Neurologista,Médico Oftalmologista,Médico Clínico Geral,Médico Legista,Médico Pediatra,Fisioterapeuta,Enfermeiro,Fonoaudiólogo,Terapeuta Ocupacional,Documentoscopista,Papiloscopista,Engenheiro Eletricista,Engenheiro Mecânico,Engenheiro Agrônomo,Engenheiro Ambiental,Engenheiro Químico,Engenheiro de Segurança do Trabalho,Engenheiro Cartógrafo,Agrimensor,Avaliador de Máquinas,Administrador,Tradutor e Intérprete,Médico Veterinário,Geólogo,Farmacêutico,Médico Dermatologista").split(",")
 FIRMS = "Construtora,Seguradora,Banco,Viação,Supermercados,Financeira,Cooperativa Agrícola,Hospital e Maternidade,Distribuidora de Energia,Companhia de Águas,Instituto de Previdência do Vale de,Fundo Estadual de Saúde de,Departamento de Estradas de,Agência de Defesa Rural de,Autarquia de Trânsito Municipal de,Superintendência de Obras Públicas de".split(",")
 PLACES = "Brejo,Campo,Lagoa,Vila,Monte,Barra,Várzea,Pedra,Poço,Riacho,Santo Antão,Nossa Senhora,Serra,Porto,São Belmiro".split(",")
 PLACE_ENDS = "da Cutia,da Garoa,do Sanharó Novo,do Mandacaru Velho,do Umbual,do Timbó,das Taipas,dos Oitis,das Juremas,do Calumbi,do Facheiro,da Macambira,do Ipê,da Serra".split(",")
@@ -58,12 +59,13 @@ FRAMES = (
     "{Anexou} aos autos o laudo de {trade} com {n} páginas, protocolo {proto}, {subscrito} por {t}{name} em {date}.",
     "Em resposta ao quesito {n}, o expert {t}{name} {disse} que {fato} o relato de {place}, fls. {nnnn}.",
     "O exame {ocorreu} na {address}, às {hour}, {presenca} do assistente técnico {t}{name}.",
-    "Trata-se de {pedido} de honorários em favor do perito {t}{name}, cadastrado no CPF {sobnr} {cpf}, {referente} à perícia de {trade} feita nos autos nº {proc}.",
+    "Trata-se de {pedido} de honorários em favor {doperito} {t}{name}, {inscrito} no CPF {sobnr} {cpf}, {referente} perícia de {trade} {feita} nos autos nº {proc}.",
+    "Trata-se de {pedido} de honorários em favor {doperito} {t}{name}, {inscrito} no CPF {sobnr} {cpf}, {referente} perícia de {trade} {feita} nos autos nº {proc}.",
     "Remetam-se os autos ao Fórum Des. {building}, {atencao} da servidora {t}{name}, ramal {nnnn}{tail}.",
     "Remetam-se os autos ao Fórum Des. {building}, {atencao} da servidora {t}{name}, ramal {nnnn}{tail}.",
     "Foi expedido ofício à empresa {firm}, CNPJ {cnpj}, com sede em {place}, {pedindo} cópia {docum} nº {nnnn}{tail}.",
     "A perícia de {trade} {designada} para {date} foi {transferida} para {date} por falta de {falta}, em {place}.",
-    "O valor de {money}, a cargo de {firm}, foi {empenhado} sob o nº {nnnn}NE{nnnn} em {date}{tail}, na dotação {nnnn}.",
+    "O valor de {money}, {cargo} {firm}, foi {empenhado} sob o nº {nnnn}NE{nnnn} em {date}{tail}, na dotação {nnnn}.",
     "{Certifico}, em {date}, às {hour}, decorreu o prazo de {n} dias sem {manif} de {firm} no processo {padm}{tail}.",
     "{Arbitro} os honorários {para} {trade} em {money}, {naforma} da tabela {vig} de {place}, {segundo} a Resolução nº {nnnn}/{year}.",
     "Considerando a {manif} de {firm} às fls. {nnnn}, {mantenho} a nomeação para a especialidade de {trade} em {place}.",
@@ -80,6 +82,9 @@ FRAMES = (
     "{Este} {vale} {court}.",
     "Leia também: pautas da {court}",
     "Receba avisos da {court} no seu painel",
+    "Compartilhe este andamento com a sua equipe | {court}",
+    "Avalie o atendimento da {court}",
+    "Imprima apenas se necessário - {court} agradece",
     "VOLTAR AO TOPO » {COURT}",
     "{Short}",
     "Requerente: {t}{name}. Requerido: {firm}.",
@@ -95,17 +100,17 @@ VALUES = (
     "{name}", "{address}", "conta {nnnnn}-{d}", "protocolo {proto}", "OAB/ZZ {nn}.{nnn}",
 )
 PLAIN = {
-    "Filiacao": "Filiação|Genitores|Pais", "aceitou": "aceitou o encargo|assumiu a função|firmou compromisso", "indicou": "indicou|forneceu|registrou", "avisos": "avisos|intimações|ciência|contato", "disse": "disse|afirmou|contou|declarou|respondeu",
+    "Filiacao": "Filiação|Genitores|Pais", "aceitou": "aceitou o encargo|assumiu a função|firmou compromisso", "indicou": "indicou|forneceu|registrou", "avisos": "avisos|intimações|ciência|contato|recado|retorno", "disse": "disse|afirmou|contou|declarou|respondeu",
     "reside": "reside|mora|vive|recebe correspondência|pode ser encontrada", "trabalha": "trabalha em|é vizinha de|presta serviço a", "pediu": "pediu vista|requereu cópia|solicitou cópia|pediu carga|pediu cópia|requereu vista", "segundo": "segundo|conforme|observada",
     "apresentou": "apresentou-se|compareceu|habilitou-se", "morada": "com morada|residente|domiciliada", "acto": "comparecer ao exame|acompanhar a vistoria|retirar o alvará|prestar depoimento", "tail": "|, com ressalva de sala acessível em {word}|, dada a falta de quórum em {word}|, à espera de laudo complementar em {word}|, pendente resposta do cartório em {word}|, sem prejuízo de transporte do periciando em {word}|, observado o tema assinatura válida em {word}",
     "forma": "na forma da lei|conforme horário oficial|com certificado próprio", "room": "consultório|escritório|gabinete", "falar": "falar|tratar|agendar", "da": "da ficha|do sistema|no cadastro", "fone": "telefone|celular|número", "semresposta": "sem confirmação|ambos sem resposta|conferidos por último|já sem resposta",
     "Dados": "Dados|Elementos|Informações", "pagamento": "pagamento|empenho|cadastro", "portadora": "portadora|titular", "informou": "informou|declinou|deixou anotado", "Nota": "Nota-se|Vistos|Analisei|Compulsando|Examinados|Verifica-se|Observa-se|Constata-se", "movidos": "movidos|propostos|ajuizados",
     "fim": "com pedido de reserva|para fins de arbitramento|com pretensão de reserva|para fins de fixação", "apontada": "apontada|informada|indicada", "emnome": "pertence a|tem como titular|está em nome de", "Anexou": "Anexou-se|Acostou-se|Juntou-se", "subscrito": "subscrito|assinado|firmado",
     "fato": "a falha coincide com|a rubrica não decorre de|a lesão decorre de|o dano não coincide com", "ocorreu": "ocorreu|teve lugar|foi feito", "presenca": "na presença|sem objeção|com a participação", "pedido": "pedido|cobrança|solicitação|requisição", "sobnr": "sob o nº|com o nº|de nº",
-    "referente": "referente|relativo", "atencao": "à atenção|por intermédio|aos cuidados", "pedindo": "pedindo|solicitando|requisitando", "docum": "da planilha|do contrato|da apólice", "designada": "designada|prevista|marcada", "transferida": "transferida|remarcada|adiada",
-    "falta": "sala acessível|energia no prédio|resposta do cartório|intimação do assistente|saldo na dotação|documentos originais|transporte do periciando", "empenhado": "empenhado|reservado|lançado", "Certifico": "Certifico que|Dou fé de que|Atesto que", "manif": "manifestação|impugnação|resposta|cota",
-    "Arbitro": "Arbitro|Fixo|Mantenho|Estimo", "para": "de|para|da área de", "naforma": "na forma|de acordo com os valores|nos moldes", "vig": "vigente|local|anexa", "mantenho": "mantenho|reconsidero", "Compra": "A compra|A reposição|A entrega", "pastas": "pastas|caixas|resmas", "refoge": "refoge a este feito de|nada tem com este feito de",
-    "Requisita": "Requisita-se|Solicita-se|Pede-se", "Este": "Este traslado|O presente documento|Esta cópia|O conteúdo desta página|Este expediente|A presente peça", "vale": "perde o efeito se rasurado conforme aviso afixado na|dispensa carimbo da unidade e integra o acervo da|pode conter dados sigilosos e deve ser devolvido à|tem validade somente no território da comarca nos termos do regimento da|não substitui a certidão original da unidade de",
+    "referente": "referente à|relativo à|pela", "doperito": "do perito|da perita|do profissional|da profissional|do expert|de", "inscrito": "inscrito|cadastrado|registrado", "feita": "feita|realizada|concluída", "atencao": "à atenção|por intermédio|aos cuidados", "pedindo": "pedindo|solicitando|requisitando", "docum": "da planilha|do contrato|da apólice", "designada": "designada|prevista|marcada", "transferida": "transferida|remarcada|adiada",
+    "falta": "sala acessível|energia no prédio|resposta do cartório|intimação do assistente|saldo na dotação|documentos originais|transporte do periciando", "empenhado": "empenhado|reservado|lançado", "Certifico": "Certifico que|Dou fé de que|Atesto que", "cargo": "a cargo de|devido por|pago por", "manif": "manifestação|impugnação|resposta|cota",
+    "Arbitro": "Arbitro|Fixo|Mantenho|Estimo", "para": "de|para|da área de", "naforma": "na forma|de acordo com os valores|nos moldes", "vig": "vigente|local|anexa", "mantenho": "mantenho|reconsidero|confirmo", "Compra": "A compra|A reposição|A entrega", "pastas": "pastas|caixas|resmas", "refoge": "refoge a este feito de|nada tem com este feito de",
+    "Requisita": "Requisita-se|Solicita-se|Pede-se", "Este": "Este traslado|O presente documento|Esta cópia|O conteúdo desta página|Este expediente|A presente peça", "vale": "perde o efeito se rasurado conforme aviso afixado na|dispensa carimbo da unidade e integra o acervo da|pode conter dados sigilosos e deve ser devolvido à|foi convertido por sistema automático nos termos do regimento da|destina-se apenas ao uso interno conforme aviso afixado na|tem validade somente no território da comarca nos termos do regimento da|não substitui a certidão original da unidade de",
     "Short": "Oficie-se.|Junte-se.|P. R. I.|À conclusão.|Defiro.|Cumpra-se.|Publique-se. Intimem-se.|É o relatório.|Ciência às partes.|Dê-se baixa.|Nada mais havendo, lavrei a presente.|Aguarde-se em secretaria.|Expedientes necessários.|Voltem-me conclusos.|Vista às partes.|Certifique-se.|Decido.",
 }
 
@@ -248,7 +253,8 @@ class Table:
         for _ in range(self.r.randrange(2, 5)):
             if text:
                 text += self.pick([" ", "\n", "\n", "\n\n"])
-            text += self.fill(self.pick(FRAMES), spans, len(text))
+            new = self.fill(self.pick(FRAMES), spans, len(text))
+            text += new.upper() if self.r.random() < 0.05 and len(new.upper()) == len(new) else new
         width = self.pick([0, 60, 80, 100])
         if width:
             chars, last = list(text), 0
@@ -261,7 +267,7 @@ class Table:
         return text, spans
 
 
-def labelled(rows: int = 1400, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def labelled(rows: int = 2000, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """The table: texts with the places and kinds of their items."""
     table = Table(seed)
     return [table.row() for _ in range(rows)]
