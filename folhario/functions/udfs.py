@@ -130,4 +130,4 @@ def first_object(text: Column) -> Column:
         for x in batches:
             yield pd.Series([balanced_object(t) for t in x], dtype=object)
 
-    return F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(run, "string")(text)
