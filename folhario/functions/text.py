@@ -142,6 +142,12 @@ def for_match(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(unaccent(F.lower(c)), r"[^a-z0-9\s/.-]", ""), r"\s+", " "))
 
 
+def collapse_spaced(c: Column) -> Column:
+    """Runs of single characters with blanks between them joined: `D E S P A C H O de` as `DESPACHO de`."""
+    one = r"[\p{L}\p{N}$/\-–.,ªº°]"
+    return F.regexp_replace(c, rf"(?<=(?:^|\s){one})[ \t]+(?={one}(?:\s|$))", "")
+
+
 def collapse_doubled(c: Column) -> Column:
     """`aabbcc` as `abc`, where at least 70 % of the pairs (three or more) are doubles."""
     n = F.length(c)

@@ -37,6 +37,11 @@ def replace_children(children: DataFrame, new: DataFrame, parent: str) -> DataFr
     return children.join(new.select(parent).distinct(), parent, "left_anti").unionByName(new)
 
 
+def remove(stored: DataFrame, gone: DataFrame, key: Sequence[str]) -> DataFrame:
+    """`stored` without the keys in `gone`, to be written over the old table."""
+    return stored.join(gone.select(*key).distinct(), list(key), "left_anti")
+
+
 def write_format(df: DataFrame, path: str, kind: str, default: str = "json") -> str:
     """`df` written as json, csv, xml, md, txt, raw or parquet; an unknown kind is the default. Gives the kind used."""
     kinds = ("json", "csv", "xml", "md", "txt", "raw", "parquet")

@@ -44,6 +44,7 @@ def test_storage(spark):
     assert rows(store.insert_if_absent(old, new, ["k"], F.col("v")), "k", "v") == [(1, "a"), (2, "b"), (3, "C")]
     assert rows(store.upsert(old, new, ["k"], F.col("v")), "k", "v") == [(1, "a"), (2, "B"), (3, "c")]
     assert rows(store.upsert_keeping(old, new.where("v <> 'C'"), ["k"], ["p"]).na.fill("-"), "k", "p") == [(1, "-"), (2, "x"), (3, "y")]
+    assert rows(store.remove(old, new, ["k"]), "k") == [(1,)]
     assert rows(store.replace_children(old, new, "k"), "k", "v") == [(1, "a"), (2, "B"), (3, "C"), (3, "c")]
 
 
@@ -170,6 +171,7 @@ def test_layout_and_text(spark):
     assert get(layout.paper_size(F.lit(596.0), F.lit(841.0))) == "A4"
     assert get(layout.page_kind(F.lit(50), F.lit(1))) == "ScannedImage"
     assert get(text.collapse_doubled(F.lit("aabbcc"))) == "abc" and get(text.collapse_doubled(F.lit("abcd"))) == "abcd"
+    assert get(text.collapse_spaced(F.lit("D E S P A C H O de 1 2 e a B c"))) == "DESPACHO de 12eaBc"
     assert get(text.highlight(F.lit("O Laudo, laudos e LAUDO"), "laudo")) == "O __Laudo__, laudos e __LAUDO__"
     assert get(text.bottom_lines(F.lit("a\nb"), 5)) == "a\nb"
     assert get(layout.signed_by(F.lit("x" * 90 + " Assinado por Ana"), "Bia|Ana"))
