@@ -69,7 +69,8 @@ NUMBER = re.compile(r",?\s+(?:n\s*[.º°o]{0,2}\s*)?\d|,\s+(?:s/n|km)", re.I)
 #: What stands before a name that is no person's: a building, or a street whose word the model left out.
 BUILDING = re.compile(r"\b(?:f[óo]rum|edif[íi]cio|pal[áa]cio|escola)\s+(?:des|dr|dra|prof|min|juiz)\b\.?\s*$", re.I)
 STREET_BEFORE = re.compile(r"\b(?:r\.|rua|av\.|avenida|trav\.|travessa|praça|alameda|ladeira|rodovia|qd\.|beco|estrada|largo)\s+(?:(?:dona|padre|coronel|conselheiro|doutor|barão|dom|frei|general|major)\s+)?$", re.I)
-GIVEN_BEFORE = re.compile(r"([^\W\d_]{3,})\s+$")
+HONOURS = frozenset("des dr dra prof min juiz".split())
+ROADS = frozenset("r rua av avenida trav travessa praça alameda ladeira rodovia qd beco estrada largo dona padre coronel conselheiro doutor barão dom frei general major".split())
 #: A label right before a number settles which number it is.
 LABEL = re.compile(r"\b(CPF|C\.P\.F\.|PIS|NIT|PASEP|RG|Identidade)\b[^\w]{0,3}(?:(?:sob|com|de)\s+)?(?:o\s+)?(?:n\s*[.º°o]{0,2}\s*)?$", re.I)
 LABELLED = {"cpf": "cpf", "c.p.f.": "cpf", "pis": "pis", "nit": "pis", "pasep": "pis", "rg": "rg", "identidade": "rg"}
@@ -148,12 +149,14 @@ def items(texts: list[str | None], m: Model) -> list[list[tuple[int, int, str]]]
                     kind = "address"  # a street named after a person, short form included
                 elif kind == "name":
                     before = text[max(0, a - 30) : a]
-                    if BUILDING.search(before):
+                    word = before.split()[-1] if not before.isspace() and before else ""
+                    bare = word.rstrip(".").lower()
+                    if bare in HONOURS and BUILDING.search(before):
                         continue
-                    if (road := STREET_BEFORE.search(before)) and NUMBER.search(text, a, min(len(text), b + 10)):
+                    if bare in ROADS and (road := STREET_BEFORE.search(before)) and NUMBER.search(text, a, min(len(text), b + 10)):
                         kind, a = "address", a - len(before) + road.start()
-                    while kind == "name" and (given := GIVEN_BEFORE.search(text, max(0, a - 20), a)) and given.start(1) > last and fold(given.group(1)) in COMMON_GIVEN:
-                        a = given.start(1)  # a given name that the model left outside
+                    elif len(bare) > 2 and before[-1].isspace() and fold(bare) in COMMON_GIVEN and (at := text.rfind(word, max(0, a - 30), a)) > last:
+                        a = at  # a given name that the model left outside
                 if kind in ("cpf", "pis", "rg") and (label := LABEL.search(text, max(0, a - 24), a)):
                     kind = LABELLED[label.group(1).lower()]
                 place = checked(kind, text, a, b)
