@@ -35,6 +35,38 @@ def tokenise(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     return [parts[i] for i in keep], starts[keep], before
 
 
+def tokenise_batch(texts: list[str | None], number) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text: type numbers, starts, ends and what stands before each token, as `tokenise` has them.
+
+    `number` numbers a list of tokens; blanks and line ends are told by their numbers, so
+    that all but the splitting is done on whole arrays.
+    """
+    parts = [TOKEN.findall(t) if t else [] for t in texts]
+    flat = [w for p in parts for w in p]
+    counts = np.fromiter(map(len, parts), np.int64, len(parts))
+    bounds = np.concatenate(([0], np.cumsum(counts)))
+    if not flat:
+        empty = np.empty(0, np.int32)
+        return [(empty, empty, empty, np.empty(0, np.int8))] * len(texts)
+    types, gaps = number(flat)
+    sizes = np.fromiter(map(len, flat), np.int64, len(flat))
+    ends = np.cumsum(sizes)
+    first = bounds[:-1][counts > 0]
+    offset = np.zeros(len(flat), np.int64)
+    base = np.concatenate(([0], ends))[first]
+    offset[first] = np.diff(np.concatenate(([0], base)))
+    ends -= np.cumsum(offset)
+    before = np.zeros(len(flat), np.int8)
+    before[1:] = gaps[:-1]
+    before[2:] = np.where((gaps[1:-1] == 1) & (gaps[:-2] == 2), 2, before[2:])
+    keep = np.flatnonzero(gaps == 0)
+    cuts = np.searchsorted(keep, bounds)
+    types, starts, stops, before = types[keep], (ends - sizes)[keep], ends[keep], before[keep]
+    heads = cuts[:-1][cuts[:-1] < cuts[1:]]
+    before[heads] = 2
+    return [(types[a:b], starts[a:b], stops[a:b], before[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
 def shape(token: str) -> str:
     """A token's form: letters by case and length, digits by their number, other characters themselves."""
     c = token[0]
@@ -64,6 +96,7 @@ class Model:
         self.types: dict[str, int] = {}
         self.tables: np.ndarray | None = None
         self.shapes: np.ndarray | None = None
+        self.gaps: np.ndarray | None = None
 
     def features(self, token: str) -> tuple[str, str, str, str]:
         low = token.lower()
@@ -193,18 +226,25 @@ class Model:
         out.append(pair)
         return [x / total * 8 for x in out]
 
+    def numbered(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Type numbers of tokens, and 2 for line ends, 1 for blanks, 0 for all others."""
+        types = self.lookup(tokens)
+        return types, self.gaps[types]
+
     def lookup(self, tokens: list[str]) -> np.ndarray:
         """Type numbers of tokens; scores of spellings not met before are worked out in one go."""
         if self.tables is None or len(self.types) > 400_000:
             self.types = {PAD: 0}
             self.tables = self._score_types([PAD])
             self.shapes = np.array([self.ids(PAD, False)[1]], np.int32)
+            self.gaps = np.zeros(1, np.int8)
         types = self.types
         new = [t for t in set(tokens) if t not in types]
         if new:
             for t in new:
                 types[t] = len(types)
             self.tables = np.concatenate([self.tables, self._score_types(new)], axis=1)
+            self.gaps = np.concatenate([self.gaps, np.array([2 if t == "\n" else 1 if t.isspace() else 0 for t in new], np.int8)])
             self.shapes = np.concatenate([self.shapes, np.array([self.ids(t, False)[1] for t in new], np.int32)])
         return np.fromiter(map(types.__getitem__, tokens), np.int32, len(tokens))
 

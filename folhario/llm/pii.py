@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folhario.llm import pii_table
-from folhario.llm.crf import Model, tokenise
+from folhario.llm.crf import Model, tokenise, tokenise_batch
 from folhario.llm.names import COMMON_GIVEN, fold, kind_of
 from folhario.runtime import without
 
@@ -128,23 +128,18 @@ def checked(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
 
 def items(texts: list[str | None], m: Model) -> list[list[tuple[int, int, str]]]:
     """(start, end, kind) of the items of each text, by place; starts from 0."""
-    parts = [tokenise(t) if t else ([], np.empty(0, np.int32), np.empty(0, np.int8)) for t in texts]
-    flat = [w for p in parts for w in p[0]]
-    types = m.lookup(flat) if flat else np.empty(0, np.int32)
-    sequences, at = [], 0
-    for tokens, _, before in parts:
-        sequences.append((types[at : at + len(tokens)], before))
-        at += len(tokens)
+    parts = tokenise_batch(texts, m.numbered)
     out = []
-    for text, (tokens, starts, _), labels in zip(texts, parts, m.decode(sequences)):
+    for text, (_, starts, ends, _b), labels in zip(texts, parts, m.decode([(p[0], p[3]) for p in parts])):
         found: list[tuple[int, int, str]] = []
         marked = np.flatnonzero(labels)
         if len(marked):
-            cuts = np.flatnonzero((np.diff(marked) > 1) | (np.diff(labels[marked].astype(np.int16)) != 0)) + 1
+            named = labels[marked]
+            cuts = np.flatnonzero((marked[1:] - marked[:-1] > 1) | (named[1:] != named[:-1])) + 1
+            heads, tails = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(marked)])) - 1
             last = -1
-            for run in np.split(marked, cuts):
-                kind = LABELS[labels[run[0]]]
-                a, b = int(starts[run[0]]), int(starts[run[-1]]) + len(tokens[run[-1]])
+            for label, a, b in zip(named[heads].tolist(), starts[marked[heads]].tolist(), ends[marked[tails]].tolist()):
+                kind = LABELS[label]
                 if kind == "name" and ROAD.match(text, a) and NUMBER.search(text, a, min(len(text), b + 10)):
                     kind = "address"  # a street named after a person, short form included
                 elif kind == "name":

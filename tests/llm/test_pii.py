@@ -3,7 +3,7 @@
 from helpers import rows
 
 from folhario.llm import pii, pii_table
-from folhario.llm.crf import tokenise
+from folhario.llm.crf import tokenise, tokenise_batch
 
 
 def test_held_out_accuracy():
@@ -24,6 +24,15 @@ def test_tokens_partition_a_text():
     assert tokenise("")[0] == [] and tokenise(" \n ")[0] == []
 
 
+def test_batches_tokenise_as_single_texts():
+    texts = ["  Dr. Á2b\n\n x-9\t.", "", None, " \n ", "um\n  dois", "x", "a  b\n"]
+    m = pii.model()
+    for t, (types, starts, ends, before) in zip(texts, tokenise_batch(texts, m.numbered)):
+        tokens, s, b = tokenise(t or "")
+        assert [t[i:j] for i, j in zip(starts, ends)] == tokens
+        assert starts.tolist() == s.tolist() and before.tolist() == b.tolist() and types.tolist() == m.lookup(tokens).tolist()
+
+
 LINE = "Intime-se o Sr. Pedro Torvares Galeume, residente na Rua das Flores, 120, para ciência. CPF 123.456.789-01, telefone (21) 91234-5678 ou pedro@correio.example."
 
 
