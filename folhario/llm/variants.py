@@ -11,7 +11,8 @@ the clusters of all shards are joined as connected components.
 
 Sharding. A name stands in a shard for each of its surnames (with the first letter of
 the given name), and in shards made of pieces of two surnames for those that are
-misspelled. Shards larger than `largest` are split by a further part of the name.
+misspelled. A shard larger than `largest` is compared by the same rules over many tasks
+(`hot_links`), with the same links: none is dropped for its size.
 
 Defined cases: null, blank and stand-in values are no names; a spelling is taken exactly
 as stored, blanks included; repeated rows count once; a lone spelling gives no pair;
@@ -24,19 +25,21 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folhario.functions.values import filled
-from folhario.llm.names import COMMON_GIVEN, NICK, agree, allowed, is_initial, parse, skeleton, spelled
+from folhario.llm.names import COMMON_GIVEN, NICK, agree, allowed, given_match, is_initial, parse, skeleton, spelled
 from folhario.operators.graph import components
 from folhario.runtime import bounded_rows, broadcast_if_small, cut
 
 EDITS = 3
 KEY_SCHEMA = "name string, n long, key string, kind string, tokens array<string>, suffix string, org string, acronym string"
-SHARD_SCHEMA = "shard string, sub string, key string, kind string, tokens array<string>, suffix string, n long, forms long"
+SHARD_SCHEMA = "shard string, key string, kind string, tokens array<string>, suffix string, n long, forms long"
+PLACE = ("shard", "last", "suffix")
 
 
 class Trie:
@@ -126,6 +129,27 @@ def token_heads(weights: dict[str, int]) -> dict[str, str]:
     return heads
 
 
+def is_whole(tokens: tuple[str, ...], given: frozenset[str]) -> bool:
+    """Whether a name is a full one: a given name and two surnames, all written out."""
+    return len(tokens) >= 3 and not is_initial(tokens[0]) and not is_initial(tokens[-2]) and tokens[-2] not in given
+
+
+def same_full(tokens, heads, given: frozenset[str]) -> list[str]:
+    """Of the full names `heads` (key, tokens) those that are of one person with a full name."""
+    return [k for k, t in heads if (a := agree(tokens, t, given)) and a.full >= 3 and a.edits <= EDITS]
+
+
+def fitting(tokens, heads, given: frozenset[str]) -> tuple[list[str], list[str]]:
+    """Of the full names `heads` those that a short form fits, and those it fits strongly."""
+    fits = [(k, a) for k, t in heads if (a := agree(tokens, t, given)) and a.edits <= EDITS - 1 and a.full + (a.initials > 0) >= 2]
+    return [k for k, _ in fits], [k for k, a in fits if a.full >= 2 and len(tokens) >= 3]
+
+
+def same_short(tokens, lone, given: frozenset[str]) -> str | None:
+    """The first of the short forms `lone` that is the same as a short form."""
+    return next((k for k, t in lone if (a := agree(tokens, t, given)) and a.full >= 2 and a.edits <= 1), None)
+
+
 def link_people(rows: list[tuple[str, tuple[str, ...], str, int]], given: frozenset[str]) -> list[tuple[str, str]]:
     """Links (key, head) among the names of one shard; rows are (key, tokens, suffix, count)."""
     weights: dict[str, int] = defaultdict(int)
@@ -136,56 +160,39 @@ def link_people(rows: list[tuple[str, tuple[str, ...], str, int]], given: frozen
     heads = token_heads(weights)
     full, short = [], []
     for row in sorted(rows, key=lambda r: (r[1][0] not in given, -r[3], r[0])):
-        tokens = row[1]
-        whole = len(tokens) >= 3 and not is_initial(tokens[0]) and not is_initial(tokens[-2]) and tokens[-2] not in given
-        (full if whole else short).append(row)
+        (full if is_whole(row[1], given) else short).append(row)
     out: list[tuple[str, str]] = []
     exact: dict[tuple[str, str, str], list] = defaultdict(list)
     by_last: dict[tuple[str, str], list] = defaultdict(list)
     for key, tokens, suffix, _n in full:
-        place = (heads[tokens[-1]], heads[tokens[-2]], suffix)
-        joined = False
-        for k, t in exact[place]:
-            a = agree(tokens, t, given)
-            if a and a.full >= 3 and a.edits <= EDITS:
-                out.append((key, k))
-                joined = True
-        if not joined:
+        place = (heads.get(tokens[-1], tokens[-1]), heads[tokens[-2]], suffix)
+        same = same_full(tokens, exact[place], given)
+        out += [(key, k) for k in same]
+        if not same:
             exact[place].append((key, tokens))
             by_last[place[0], suffix].append((key, tokens))
     lone: dict[tuple[str, str], list] = defaultdict(list)
     for key, tokens, suffix, _n in short:
         last = (heads.get(tokens[-1], tokens[-1]), suffix)
-        fits = []
-        for k, t in by_last[last]:
-            a = agree(tokens, t, given)
-            if a and a.edits <= EDITS - 1 and a.full + (a.initials > 0) >= 2:
-                fits.append((k, a))
-        strong = [k for k, a in fits if a.full >= 2 and len(tokens) >= 3]
+        fits, strong = fitting(tokens, by_last[last], given)
         if len(fits) == 1 or len(strong) == 1:
-            out.append((key, strong[0] if strong else fits[0][0]))
+            out.append((key, strong[0] if strong else fits[0]))
         elif not fits and len(tokens) >= 2:
-            for k, t in lone[last]:
-                a = agree(tokens, t, given)
-                if a and a.full >= 2 and a.edits <= 1:
-                    out.append((key, k))
-                    break
-            else:
+            k = same_short(tokens, lone[last], given)
+            if k is None:
                 lone[last].append((key, tokens))
+            else:
+                out.append((key, k))
     return out
 
 
-def link_organisations(rows: list[tuple[str, tuple[str, ...], str, int]], forms: dict[str, int]) -> list[tuple[str, str]]:
-    """Links among organisations of one shard: one kind, and the same telling words in any order.
+def word_heads(weights: dict[str, int]) -> dict[str, str]:
+    """For each telling word of organisations the one it is taken for.
 
     Few letters tell organisations apart, so two telling words are one only if they are
     an edit apart and one of them looks like a slip: letters swapped, doubled or left
-    out, or a spelling that `forms` (the ways each name is written) shows to be rare.
+    out, or a spelling that `weights` (the ways names with it are written) shows to be rare.
     """
-    weights: dict[str, int] = defaultdict(int)
-    for key, tokens, _, _n in rows:
-        for t in tokens:
-            weights[t] += forms[key]
     words = Vocabulary(weights)
     heads: dict[str, str] = {}
     for t in sorted(weights, key=lambda t: (-weights[t], t)):
@@ -195,6 +202,16 @@ def link_organisations(rows: list[tuple[str, tuple[str, ...], str, int]], forms:
             if heads.get(u) == u and slip:
                 fits.append((spelled(t, u) or 0, -weights[u], u))
         heads[t] = min(fits)[2] if fits else t
+    return heads
+
+
+def link_organisations(rows: list[tuple[str, tuple[str, ...], str, int]], forms: dict[str, int]) -> list[tuple[str, str]]:
+    """Links among organisations of one shard: one kind, and the same telling words in any order."""
+    weights: dict[str, int] = defaultdict(int)
+    for key, tokens, _, _n in rows:
+        for t in tokens:
+            weights[t] += forms[key]
+    heads = word_heads(weights)
     first: dict[tuple[str, ...], str] = {}
     out = []
     for key, tokens, kind, _n in sorted(rows, key=lambda r: (-forms[r[0]], -r[3], r[0])):
@@ -253,14 +270,10 @@ def given_names(keys: DataFrame, least: int = 3, largest: int = 1_000_000) -> fr
     return frozenset(kept) | COMMON_GIVEN
 
 
-def _shards(tokens: list[str], kind: str, org: str, given: frozenset[str]) -> list[tuple[str, str]]:
-    """(shard, further part) pairs under which a name is compared."""
+def _shards(tokens: list[str], kind: str, org: str, given: frozenset[str]) -> list[str]:
+    """Shards in which a name is compared."""
     if kind == "org":
-        out = []
-        for t in tokens or [""]:
-            s = skeleton(t)
-            out += [(f"O|{org}|{s[:2]}", s[2:5]), (f"Z|{org}|{s[-3:]}", s[:2])]
-        return out
+        return [x for t in tokens or [""] for s in [skeleton(t)] for x in (f"O|{org}|{s[:2]}", f"Z|{org}|{s[-3:]}")]
     if len(tokens) < 2:
         return []
     first, inner = tokens[0], [skeleton(t) for t in tokens[1:] if not is_initial(t)]
@@ -268,16 +281,164 @@ def _shards(tokens: list[str], kind: str, org: str, given: frozenset[str]) -> li
         return []
     letters = sorted({first[0], *(x[0] for x in NICK.get(first, ()))})
     names = [skeleton(t) for t in tokens[1:] if not is_initial(t) and t not in given] or inner[-1:]
-    other = {t: next((u for u in reversed(names) if u != t), "") for t in names}
-    out = [(f"T|{t}|{x}", other[t][:2] or first) for t in names for x in letters]
+    out = [f"T|{t}|{x}" for t in names for x in letters]
     last = inner[-1]
-    out += [(f"Q|{skeleton(first)}|{last[:4]}", last[4:6]), (f"R|{skeleton(first)}|{last[-5:]}", last[:2])]
+    out += [f"Q|{skeleton(first)}|{last[:4]}", f"R|{skeleton(first)}|{last[-5:]}"]
     if len(tokens) >= 3 and len(inner) >= 2:
         m = inner[-2]
-        out += [(f"P|{m[:3]}|{last[:3]}", first[:2]), (f"S|{m[-4:]}|{last[-4:]}", first[:2]), (f"M|{m[:3]}|{last[-4:]}", first[:2]), (f"N|{m[-4:]}|{last[:3]}", first[:2])]
+        out += [f"P|{m[:3]}|{last[:3]}", f"S|{m[-4:]}|{last[-4:]}", f"M|{m[:3]}|{last[-4:]}", f"N|{m[-4:]}|{last[:3]}"]
     return out
 
 
+class Firsts:
+    """Names by their first token; `near` lists those whose first token may agree, in the order they came."""
+
+    def __init__(self, given: frozenset[str]):
+        self.given, self.size = given, 0
+        self.by: dict[str, list] = {}
+        self.met: dict[str, list] = {}
+
+    def add(self, key: str, tokens: tuple[str, ...]) -> None:
+        first = tokens[0]
+        if first not in self.by:
+            self.by[first] = []
+            for f, lists in self.met.items():
+                if given_match(f, first, self.given) is not None:
+                    lists.append(self.by[first])
+        self.by[first].append((self.size, key, tokens))
+        self.size += 1
+
+    def near(self, tokens: tuple[str, ...]) -> Iterator[tuple[str, tuple[str, ...]]]:
+        first = tokens[0]
+        if first not in self.met:
+            self.met[first] = [names for f, names in self.by.items() if given_match(first, f, self.given) is not None]
+        return ((k, t) for _, k, t in sorted(chain.from_iterable(self.met[first])))
+
+
+def _streamed(df: DataFrame, by: Sequence[str], order: Sequence, schema: str, step) -> DataFrame:
+    """`df` grouped by `by` and in `order`, row by row through a function that `step()` makes for each group."""
+    columns, out = df.columns, [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, take = None, None
+        for batch in batches:
+            done: list[tuple] = []
+            for group, *row in zip(zip(*(batch[c] for c in by)), *(batch[c] for c in columns)):
+                if group != now:
+                    now, take = group, step()
+                done += take(dict(zip(columns, row)))
+            yield pd.DataFrame(done, columns=out)
+
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+
+
+def hot_links(rows: DataFrame, held, largest: int) -> DataFrame:
+    """(a, b): the links that `link_people` and `link_organisations` give, for shards too large for one task.
+
+    The words of a shard are taken for their heads first, from all of its names. Full
+    names then meet those with the heads of both surnames; short forms meet all full
+    names with the head of the last one, in blocks of about `largest`, and what they fit
+    is counted over all blocks before it is decided; short forms that fit nobody meet
+    each other. Each step goes through sorted rows and keeps only the heads of a group.
+    """
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            people, tokens = batch["kind"] == "person", [tuple(t) for t in batch["tokens"]]
+            batch["whole"] = [bool(p) and is_whole(t, held.value) for p, t in zip(people, tokens)]
+            batch["strange"] = [bool(p) and t[0] not in held.value for p, t in zip(people, tokens)]
+            batch["weighed"] = [[x for x in t[1:] if not is_initial(x)] if p else list(t) for p, t in zip(people, tokens)]
+            yield batch
+
+    rows = cut(rows.mapInPandas(mark, f"{SHARD_SCHEMA}, whole boolean, strange boolean, weighed array<string>"))
+    person = F.col("kind") == "person"
+    vocabulary = rows.select("shard", "kind", F.explode("weighed").alias("token"), F.when(person, F.col("n")).otherwise(F.col("forms")).alias("w")).groupBy("shard", "kind", "token").agg(F.sum("w").alias("w"))
+
+    def to_heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, kind, weights = None, "", {}
+
+        def flush() -> pd.DataFrame:
+            heads = token_heads(weights) if kind == "person" else word_heads(weights)
+            return pd.DataFrame([(now, t, h) for t, h in heads.items()], columns=["shard", "token", "head"])
+
+        for batch in batches:
+            for shard, k, token, w in zip(batch["shard"], batch["kind"], batch["token"], batch["w"]):
+                if shard != now:
+                    yield flush()
+                    now, kind, weights = shard, k, {}
+                weights[token] = w
+        yield flush()
+
+    heads = vocabulary.repartition("shard").sortWithinPartitions("shard").mapInPandas(to_heads, "shard string, token string, head string")
+    wanted = F.when(person, F.slice("tokens", -2, 2)).otherwise(F.col("tokens"))
+    taken = rows.select("shard", "key", F.posexplode_outer(wanted).alias("pos", "token")).join(heads, ["shard", "token"], "left")
+    taken = taken.groupBy("shard", "key").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("head", "token").alias("head")))).alias("taken"))
+    placed = cut(rows.join(taken.select("shard", "key", F.col("taken.head").alias("taken")), ["shard", "key"]))
+
+    bodies = placed.where(~person).withColumn("taken", F.array_sort(F.array_distinct(F.array_compact("taken"))))
+    chief = bodies.groupBy("shard", "suffix", "taken").agg(F.min(F.struct(-F.col("forms"), -F.col("n"), "key"))["key"].alias("b"))
+    out = [bodies.join(chief, ["shard", "suffix", "taken"]).where("key <> b").select(F.col("key").alias("a"), "b")]
+
+    people = placed.where(person).select("shard", F.col("taken")[1].alias("last"), F.col("taken")[0].alias("before"), "suffix", "key", "tokens", "whole", "strange", "n")
+    order = ["strange", F.desc("n"), "key"]
+
+    def full_names():
+        known = Firsts(held.value)
+
+        def take(r: dict) -> list[tuple]:
+            tokens = tuple(r["tokens"])
+            same = same_full(tokens, known.near(tokens), held.value)
+            if not same:
+                known.add(r["key"], tokens)
+            return [(r["shard"], r["last"], r["suffix"], r["key"], list(tokens), k) for k in same or [None]]
+
+        return take
+
+    full = cut(_streamed(people.where("whole"), ["shard", "last", "before", "suffix"], order, "shard string, last string, suffix string, key string, tokens array<string>, head string", full_names))
+    out.append(full.where("head is not null").select(F.col("key").alias("a"), F.col("head").alias("b")))
+
+    full = full.where("head is null").drop("head")
+    blocks = full.groupBy(*PLACE).agg(F.ceil(F.count("*") / largest).cast("int").alias("blocks"))
+    block = full.join(blocks, [*PLACE]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).drop("blocks")
+    short = people.where("not whole").select(*PLACE, "key", "tokens").join(blocks, [*PLACE], "left")
+    short = short.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+
+    def short_forms():
+        known = Firsts(held.value)
+
+        def take(r: dict) -> list[tuple]:
+            tokens = tuple(r["tokens"])
+            if not r["short"]:
+                known.add(r["key"], tokens)
+                return []
+            fits, strong = fitting(tokens, known.near(tokens), held.value)
+            return [(r["shard"], r["key"], len(fits), fits[0] if fits else None, len(strong), strong[0] if strong else None)]
+
+        return take
+
+    met = block.withColumn("short", F.lit(False)).unionByName(short.withColumn("short", F.lit(True)))
+    met = _streamed(met, [*PLACE, "block"], ["short"], "shard string, key string, fits long, fit string, strong long, best string", short_forms)
+    met = cut(met.groupBy("shard", "key").agg(F.sum("fits").alias("fits"), F.min("fit").alias("fit"), F.sum("strong").alias("strong"), F.min("best").alias("best")))
+    out.append(met.where("fits = 1 or strong = 1").select(F.col("key").alias("a"), F.coalesce("best", "fit").alias("b")))
+
+    def lone_forms():
+        known = Firsts(held.value)
+
+        def take(r: dict) -> list[tuple]:
+            tokens = tuple(r["tokens"])
+            k = same_short(tokens, known.near(tokens), held.value)
+            if k is None:
+                known.add(r["key"], tokens)
+                return []
+            return [(r["key"], k)]
+
+        return take
+
+    lone = people.where("not whole").join(met.where("fits = 0").select("shard", "key"), ["shard", "key"], "left_semi")
+    out.append(_streamed(lone, PLACE, order, "a string, b string", lone_forms))
+    return reduce(DataFrame.unionByName, out)
+
+
 def links(keys: DataFrame, given: frozenset[str], largest: int = 5000) -> DataFrame:
     """(a, b): each key and the head of its cluster, for every shard."""
     held = keys.sparkSession.sparkContext.broadcast(given)
@@ -289,24 +450,26 @@ def links(keys: DataFrame, given: frozenset[str], largest: int = 5000) -> DataFr
                 tokens = list(tokens)
                 if kind == "person":
                     tokens = turned(tokens, held.value)
-                for shard, sub in dict.fromkeys(_shards(tokens, kind, org, held.value)):
-                    rows.append((shard, sub, key, kind, tokens, org if kind == "org" else suffix, n, forms))
-            yield pd.DataFrame(rows, columns=["shard", "sub", "key", "kind", "tokens", "suffix", "n", "forms"])
+                for shard in dict.fromkeys(_shards(tokens, kind, org, held.value)):
+                    rows.append((shard, key, kind, tokens, org if kind == "org" else suffix, n, forms))
+            yield pd.DataFrame(rows, columns=["shard", "key", "kind", "tokens", "suffix", "n", "forms"])
 
     sharded = keys.where("kind <> 'acronym'").select("key", "kind", "tokens", "suffix", "org", "n", "forms").mapInPandas(spread_out, SHARD_SCHEMA)
-    hot = sharded.groupBy("shard").count().where(F.col("count") > largest).select("shard", F.lit(True).alias("_hot"))
-    placed = sharded.join(broadcast_if_small(hot, 10_000), "shard", "left").withColumn("shard", F.when(F.col("_hot"), F.concat_ws("|", "shard", "sub")).otherwise(F.col("shard"))).drop("_hot", "sub")
+    hot = cut(sharded.groupBy("shard").count().where(F.col("count") > largest).select("shard"))
+    some_hot = not hot.isEmpty()
+    if some_hot:
+        hot = broadcast_if_small(hot, 10_000)
+    placed = sharded.join(hot, "shard", "left_anti") if some_hot else sharded
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, rows, done = None, [], []
 
         def flush() -> None:
             if len(rows) > 1:
-                group = list({r[1]: r for r in rows}.values())
-                people = [r[1:2] + r[3:6] for r in group if r[2] == "person"]
-                bodies = [r[1:2] + r[3:6] for r in group if r[2] == "org"]
+                people = [r[1:2] + r[3:6] for r in rows if r[2] == "person"]
+                bodies = [r[1:2] + r[3:6] for r in rows if r[2] == "org"]
                 done.extend(link_people(people, held.value) if len(people) > 1 else [])
-                done.extend(link_organisations(bodies, {r[1]: r[6] for r in group}) if len(bodies) > 1 else [])
+                done.extend(link_organisations(bodies, {r[1]: r[6] for r in rows}) if len(bodies) > 1 else [])
 
         for batch in batches:
             for shard, key, kind, tokens, suffix, n, forms in zip(*(batch[c] for c in ("shard", "key", "kind", "tokens", "suffix", "n", "forms"))):
@@ -320,7 +483,10 @@ def links(keys: DataFrame, given: frozenset[str], largest: int = 5000) -> DataFr
         yield pd.DataFrame(done, columns=["a", "b"])
 
     grouped = placed.select("shard", "key", "kind", "tokens", "suffix", "n", "forms").repartition("shard").sortWithinPartitions("shard")
-    return grouped.mapInPandas(compare, "a string, b string").distinct()
+    found = grouped.mapInPandas(compare, "a string, b string")
+    if some_hot:
+        found = found.unionByName(hot_links(sharded.join(hot, "shard", "left_semi"), held, largest))
+    return found.distinct()
 
 
 def entities(df: DataFrame, columns: Sequence[str], largest: int = 5000) -> DataFrame:

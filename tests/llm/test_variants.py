@@ -53,6 +53,18 @@ def test_split_shards_lose_no_full_name(spark):
     assert rows(variants.pairs(variants.entities(df, ["a"], largest=3)), "name_a", "name_b") == base
 
 
+def test_large_shards_lose_no_link(spark):
+    names = ["Joaquim Perandrilho Salneanha", "JOAQUIM PERANDRILHO SALNEANHA", "J. P. Salneanha", "Quim Salneanha", "Joquim Salneanha", "J. Perandrilho Salneanha"]
+    names += ["Marta Bordilho Salneanha", "Marta Cordambe Salneanha", "Marta Salneanha", "M. Salneanha", "M. C. Salneanha", "Martha Bordlho Salneanha", "Irene Salneanha", "Irenne Salneanha", "IRENE SALNEANHA"]
+    names += ["Seguradora Tormao S/A", "Seg. Tormao", "Seguradora Torxmao", "SEGURADORA TORMAO", "Viação Gulpe", "Viação Gudpe", "VIACAO GULPE", "Viac. Gulpe Ltda"]
+    df = spark.createDataFrame([(n,) for n in names], "a string")
+    want = rows(variants.pairs(variants.entities(df, ["a"])), "name_a", "name_b")
+    linked = {n for p in want for n in p}
+    assert {"J. P. Salneanha", "Quim Salneanha", "Joquim Salneanha", "Irenne Salneanha"} <= linked and not {"Marta Salneanha", "M. Salneanha"} & linked
+    for largest in (1, 3):
+        assert rows(variants.pairs(variants.entities(df, ["a"], largest=largest)), "name_a", "name_b") == want
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "a string")
     assert variants.pairs(variants.entities(df, ["a"])).count() == 0
