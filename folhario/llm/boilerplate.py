@@ -30,18 +30,30 @@ from folhario.runtime import broadcast_if_small, cut
 SHARE = 0.15
 FIELDS = ("header", "footer", "text")
 _MONTHS = "janeiro|fevereiro|mar[cç]o|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro"
+_L = "[a-zà-ý]"
+_AFTER = rf"(?={_L}+(?![\p{{L}}\d]))"
+
+
+def _misread(digit: str, most: int = 1) -> str:
+    """A digit read for a letter in a word of letters; words of six or more hexadecimal digits are codes."""
+    return rf"{digit}(?<=(?<![\p{{L}}\d])(?![a-f\d]{{6,}}(?![\p{{L}}\d])){_L}{{1,30}}{digit}{{1,{most}}})" + (_AFTER if most == 1 else _AFTER.replace("(?=", f"(?={digit}?", 1))
 
 
 def line_keys(c: Column) -> Column:
     """A text's lines as an array of keys; a blank line's key is empty.
 
-    The whole text is folded at once, line ends kept, and split afterwards. Vowels, with
+    The whole text is folded at once, line ends kept, and split afterwards. Digits read
+    for letters are put back in words, before what has digits becomes a number. Vowels, with
     or without accents, are left out of keys: misread and unaccented letters are mostly
     vowels, and lines that differ in nothing else are one line anyway.
     """
     t = F.lower(c)
     t = F.regexp_replace(t, r"[^\p{L}\p{N}\n]+", " ")
     t = F.regexp_replace(t, r"(?<=[a-zà-ý])0(?=[a-zà-ý])|(?<=[a-zà-ý]{2})0(?![0-9a-z])", "o")
+    t = F.regexp_replace(t, _misread("5", 2), "s")
+    t = F.regexp_replace(t, _misread("8"), "b")
+    t = F.regexp_replace(t, rf"{_misread('1')}(?<=[^aeiouà-ý]1)(?=[^aeiouà-ý])", "i")
+    t = F.regexp_replace(t, _misread("1"), "l")
     t = F.regexp_replace(t, rf"[a-z]*\d[a-z\d]*(?: (?:de )?(?:(?:{_MONTHS}) )?(?:de )?(?=[a-z]*\d)[a-z\d]+)*", "#")
     t = F.replace(t, F.lit("ç"), F.lit("c"))
     t = F.regexp_replace(t, r"[aeiouà-æè-öø-ý\p{Mn}]+", "")

@@ -3,6 +3,7 @@
 import random
 
 from helpers import rows
+from pyspark.sql import functions as F
 
 from folhario.llm import boilerplate
 
@@ -48,6 +49,24 @@ def test_share_is_of_pages(spark):
     assert rows(boilerplate.repeated_lines(pages.where("page_id <> 3"), src), "page_id") == []
 
 
+def test_misread_digits(spark):
+    same = [("Processo", "Proces5o", "Proce5so", "Proce55o"), ("sistema", "si5tema"), ("dispensa", "dispen5a"), ("farseelo", "far5eelo"), ("não substitui", "não sub5titui"), ("tabelião", "ta8elião"), ("oficial", "ofic1al"), ("criminal", "crim1nal"), ("Ação vara", "Açã0 vara"), ("conosco", "c0nosco"), ("narlaésio", "narlaé5io")]
+    df = spark.createDataFrame([(w[0], x) for w in same for x in w], "a string, b string").select("a", "b", boilerplate.line_keys(F.col("a"))[0].alias("k"), boilerplate.line_keys(F.col("b"))[0].alias("l"))
+    met = {(r.a, r.b): boilerplate._edits(r.k, r.l) for r in df.collect()}
+    assert {k: v for k, v in met.items() if v} == {("oficial", "ofic1al"): 1}
+    codes = ["c8afbbbd", "FDB5DDEB", "ee1ebbba", "7b5a7ba2", "x7k5f", "15", "A1B5"]
+    got = spark.createDataFrame([(f"conferida em {x}",) for x in codes], "a string").select(boilerplate.line_keys(F.col("a"))[0].alias("k")).distinct()
+    assert [r.k for r in got.collect()] == ["cnfrd m #"]
+
+
+def test_misread_lines_are_found(spark):
+    slips = ["Dispen5a a assinatura do si5tema", "Dispensa a a5sinatura do sistema", "DISPEN5A A A5SINATURA DO SISTEMA", "Di5pensa a as5inatura do sistema"]
+    recs = [(i, 1, slips[i // 9] if i % 9 == 0 and i < 36 else "Dispensa a assinatura do sistema", None, None, "", 0) for i in range(60)]
+    src = spark.createDataFrame([(1, "u")], "cache_id long, source string")
+    got = rows(boilerplate.repeated_lines(spark.createDataFrame(recs, SCHEMA), src), "page_id")
+    assert got == [(i,) for i in range(60)]
+
+
 def test_empty_tables(spark):
     pages, sources = corpus(spark, 3)
     assert boilerplate.repeated_lines(pages.limit(0), sources).count() == 0
