@@ -215,7 +215,7 @@ class Ranker:
         return self.entries[i].ref_id if score >= TRADE_LEAST else NONE
 
     def _place(self, text, tokens, repairs, ranked) -> int:
-        for _, i in ranked[:12]:
+        for _, i in ranked:
             want = set(self.entries[i].tokens)
             got = [{r for r, _ in repairs.get(t, [])} & want for t in tokens]
             if all(got) and set().union(*got) == want and len(tokens) == len(self.entries[i].tokens):
@@ -225,7 +225,7 @@ class Ranker:
     def _person(self, text, tokens, repairs, ranked) -> int:
         name: Name = parse(text)
         fits = []
-        for score, i in ranked[:60]:
+        for score, i in ranked:
             e = self.entries[i]
             if name.suffix != self.suffixes.get(i, ""):
                 continue

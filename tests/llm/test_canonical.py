@@ -46,3 +46,13 @@ def test_every_alias_names_its_entry():
             tokens = canonical.trade_tokens(a)
             fits = {t: [(r, s) for r in ranker.weight if (s := canonical.similar(t, r)) > 0] for t in tokens}
             assert ranker.meant(a, tokens, fits) == i, a
+
+
+def test_every_ranked_entry_is_checked():
+    people = [(i, f"{chr(97 + i % 25)}natolio bord{chr(97 + i // 25)}{chr(97 + i % 25)}lho Salneanha") for i in range(75)] + [(100, "Zulmira Tornaante Salneanha")]
+    ranker = canonical.Ranker("person", canonical.entries_of("person", people))
+    assert ranker.meant("Z. Salneanha", ["z.", "salneanha"], {"salneanha": [("salneanha", 1.0)]}) == 100
+    longer = [canonical.Entry(i, ("garoa", f"lag{chr(97 + i)}", "vale")) for i in range(14)]
+    ranker = canonical.Ranker("place", [*longer, canonical.Entry(50, ("garoa", "lagu"))])
+    fits = {"garoa": [("garoa", 1.0)], "lago": [*((e.tokens[1], 0.9) for e in longer), ("lagu", 0.5)]}
+    assert ranker.meant("garoa lago", ["garoa", "lago"], fits) == 50
