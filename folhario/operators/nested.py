@@ -7,10 +7,12 @@ opened before the child. That last-before search is a window, not a join, so it
 one shuffle however deep the tree is.
 
 Defined cases: a null, empty, blank, cut-off or otherwise unreadable record gives no
-nodes; JSON text inside a JSON string is unwrapped; keys are compared without case and
-underscores; one object in place of a list is a list of one; a null or scalar entry
-keeps its position and gives no node; repeated records give the same nodes again, told
-apart by `key`; columns of the input other than the two named are ignored.
+nodes; JSON text inside a JSON string is unwrapped wherever the walk meets it, however
+often it is wrapped; keys are compared without case and underscores; one object in place
+of a list is a list of one, and several objects in place of one are all walked, their
+nodes numbered on; a null or scalar entry keeps its position and gives no node; repeated
+records give the same nodes again, told apart by `key`; columns of the input other than
+the two named are ignored.
 """
 
 from __future__ import annotations
@@ -107,9 +109,7 @@ def _scan(text: str):
 def parse(text: str | None):
     """The record's JSON value, or None where there is none. Strings that hold JSON are unwrapped."""
     value = text
-    for _ in range(8):
-        if not isinstance(value, str):
-            break
+    while isinstance(value, str):  # every pass takes off a pair of quotes
         body = value.strip().lstrip("﻿")
         if not body:
             return None
@@ -125,10 +125,6 @@ def parse(text: str | None):
     return value
 
 
-def _folded(node: dict) -> dict:
-    return {_norm(str(k)): v for k, v in node.items()}
-
-
 def label(text: str | None) -> Iterator[tuple[str, int, int, int, str, str]]:
     """(kind, level, pre, post, node_id, body) of every typed node, in post order.
 
@@ -136,19 +132,18 @@ def label(text: str | None) -> Iterator[tuple[str, int, int, int, str, str]]:
     left (post) once they are done. `level` counts typed ancestors.
     """
     root = parse(text)
-    for _ in range(8):
-        if not isinstance(root, dict):
-            break
-        inner = next((v for k, v in _folded(root).items() if k in ENVELOPES), None)
+    while isinstance(root, dict):  # every pass goes one level down
+        inner = next((v for k, v in root.items() if _norm(str(k)) in ENVELOPES and v is not None), None)
         if inner is None:
             break
-        root = parse(inner) if isinstance(inner, str) else inner
+        root = parse(inner)
     if not isinstance(root, dict):
         return
     clock_pre = clock_post = 0
     # frame: value, kind of this node or None, typed kind above, keys walked since it, position path, level
     stack: list = [(root, None, None, (), "", 0, False)]
     opened: dict[int, int] = {}
+    numbered: dict[tuple, int] = {}  # entries met so far, by node and kind
     starts = {(k[0], k[1][: i + 1]) for k in LAYOUT.values() for i in range(len(k[1]))}
     starts |= {(k, v[: i + 1]) for k, v in RECURSIVE.items() for i in range(len(v))}
     ends = {(above, path): kind for kind, (above, path) in LAYOUT.items()}
@@ -169,20 +164,20 @@ def label(text: str | None) -> Iterator[tuple[str, int, int, int, str, str]]:
         if not isinstance(value, dict):
             continue
         todo = []
-        for key, child in _folded(value).items():
-            way = (*walked, key)
+        for key, child in value.items():
+            way = (*walked, _norm(str(key)))
             if (above, way) not in starts:
                 continue
+            child = parse(child)
             target = ends.get((above, way))
+            items = child if isinstance(child, list) else [] if child is None else [child]
+            first = numbered.get((above, path, target), 0) if target else 0
             if target:
-                items = child if isinstance(child, list) else [] if child is None else [child]
-                for i, item in enumerate(items):
-                    if isinstance(item, dict):
-                        todo.append((item, target, above, (), f"{path}.{i}" if path else str(i), level, False))
-            elif isinstance(child, dict):
-                todo.append((child, None, above, way, path, level, False))
-            elif isinstance(child, list):  # one object where a list of one was written
-                todo += [(x, None, above, way, path, level, False) for x in child[:1] if isinstance(x, dict) and len(child) == 1]
+                numbered[above, path, target] = first + len(items)
+            for i, item in enumerate(items, first):
+                item = parse(item)
+                if isinstance(item, dict):
+                    todo.append((item, target, above, (), f"{path}.{i}" if path else str(i), level, False) if target else (item, None, above, way, path, level, False))
         stack.extend(reversed(todo))
 
 

@@ -16,13 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
-    A cluster names it in spark.checkpoint.dir, which is read from the session. Only
-    where the setting is absent (tests on one machine) is a folder of our own taken.
+    A cluster names it in spark.checkpoint.dir, which is read from the session. Where the
+    setting is absent a local session takes a folder of its own; on a cluster, whose
+    executors couldn't read such a folder, that is an error.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return sc._jsc.sc().getCheckpointDir().get()
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="folhario-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

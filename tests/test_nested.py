@@ -7,23 +7,30 @@ from helpers import rows
 from folhario.operators import nested
 
 
-def brute(text):
-    """(kind, node_id, parent_id) by plain recursion."""
-    v = text
+def unwrapped(v):
     while isinstance(v, str):
         try:
             v = json.loads(v)
         except ValueError:
-            return []
-    fold = lambda d: {k.lower().replace("_", ""): x for k, x in d.items()} if isinstance(d, dict) else {}
-    v = fold(v)
-    if "analysis" in v:
-        v = fold(v["analysis"])
+            return None
+    return v
+
+
+def brute(text):
+    """(kind, node_id, parent_id) by plain recursion."""
+    v = unwrapped(text)
+    fold = lambda d: {k.lower().replace("_", ""): unwrapped(x) for k, x in d.items()}
+    while isinstance(v, dict) and fold(v).get("analysis") is not None:
+        v = fold(v)["analysis"]
     out = []
-    many = lambda x: x if isinstance(x, list) else [] if x is None else [x]
+    many = lambda x: [unwrapped(y) for y in x] if isinstance(x, list) else [] if x is None else [x]
+
+    def inside(x, key):
+        """The entries under `key` of every object of a container."""
+        return [z for y in many(x) if isinstance(y, dict) for z in many(fold(y).get(key))]
 
     def put(kind, items, parent, then=None):
-        for i, x in enumerate(many(items)):
+        for i, x in enumerate(items):
             if isinstance(x, dict):
                 node = f"{parent}.{i}" if parent else str(i)
                 out.append((kind, node, parent))
@@ -31,17 +38,19 @@ def brute(text):
                     then(fold(x), node)
 
     def page(p, node):
-        put("font", fold(p.get("textinfo")).get("fonts"), node)
-        put("image", fold(p.get("resources")).get("images"), node)
-        put("form_field", fold(p.get("resources")).get("formfields"), node)
-        put("annotation", p.get("annotations"), node)
+        put("font", inside(p.get("textinfo"), "fonts"), node)
+        put("image", inside(p.get("resources"), "images"), node)
+        put("form_field", inside(p.get("resources"), "formfields"), node)
+        put("annotation", many(p.get("annotations")), node)
 
     def mark(m, node):
-        put("bookmark", m.get("children"), node, mark)
+        put("bookmark", many(m.get("children")), node, mark)
 
-    put("page", v.get("pages"), "", page)
-    put("signature", v.get("signatures"), "")
-    put("bookmark", fold(v.get("bookmarks")).get("rootitems"), "", mark)
+    if isinstance(v, dict):
+        v = fold(v)
+        put("page", many(v.get("pages")), "", page)
+        put("signature", many(v.get("signatures")), "")
+        put("bookmark", inside(v.get("bookmarks"), "rootitems"), "", mark)
     return sorted(out)
 
 
@@ -54,8 +63,19 @@ DOC = {
     "Bookmarks": {"RootItems": [{"Title": "a", "Children": [{"Title": "b", "Children": {"Title": "c"}}, None, {"Title": "d"}]}, {"Title": "e"}]},
     "Signatures": {"SignerName": "s"},
 }
+WRAPPED = {**DOC, "Bookmarks": json.dumps(json.dumps(DOC["Bookmarks"])), "Pages": json.dumps([json.dumps(p) for p in DOC["Pages"]]), "Analysis": None}
+TWICE = {"pages": [{"Resources": [{"Images": [{"n": 1}, None]}, 3, {"Images": {"n": 2}, "FormFields": [{}]}], "TextInfo": [{"Fonts": [{}]}, {"Fonts": None}, {"Fonts": [{}, {}]}]}], "bookmarks": [{"rootItems": [{}]}, {"rootItems": [{"children": [{}]}]}]}
+
+
+def wrapped(times):
+    text = json.dumps(DOC)
+    for _ in range(times):
+        text = json.dumps(text)
+    return text
+
+
 CASES = [
-    json.dumps(DOC), json.dumps(json.dumps(DOC)), json.dumps({"version": 1, "analysis": DOC}), json.dumps({"file_path": "x", "pages": {"text_info": {"fonts": [{}]}}}), json.dumps(DOC)[:-20],
+    json.dumps(WRAPPED), json.dumps(TWICE), wrapped(9), json.dumps({"analysis": {"analysis": json.dumps({"analysis": DOC})}}), json.dumps(DOC), json.dumps(json.dumps(DOC)), json.dumps({"version": 1, "analysis": DOC}), json.dumps({"file_path": "x", "pages": {"text_info": {"fonts": [{}]}}}), json.dumps(DOC)[:-20],
     "", "   ", None, "null", "[]", "3", "{}", '{"Pages": "none"}', json.dumps(DOC, indent=2),
 ]
 
@@ -78,6 +98,12 @@ def test_real_records(spark):
     assert rows(nested.flatten(df), "key", "kind", "node_id", "parent_id") == want
 
 
+def test_containers_of_several_objects_and_inner_text():
+    kinds = lambda text: sorted((n[0], n[4]) for n in nested.label(text))
+    assert [x for x in kinds(json.dumps(TWICE)) if x[0] == "image"] == [("image", "0.0"), ("image", "0.2")]
+    assert kinds(json.dumps(WRAPPED)) == kinds(json.dumps(DOC)) == kinds(wrapped(9))
+
+
 def test_intervals_enclose():
     nodes = {n[4]: n for n in nested.label(json.dumps(DOC)) if n[0] == "bookmark"}
     a, c = nodes["0"], nodes["0.0.0"]
