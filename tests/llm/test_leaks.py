@@ -40,8 +40,8 @@ CASES = {
 def test_cases(spark):
     docs = spark.createDataFrame([(k, t, 1, "clash") for k, (t, _) in CASES.items()] + [(10, CASES[10][0], 2, "x")], "doc_id long, text string, item_id int, words string")
     items = spark.createDataFrame([(i, p, 3) for i, p in ITEMS], "item_id long, passage string, doc_id int")
-    for block in (2000, 2):
-        got = rows(leaks.leaks(docs, items, block=block), "doc_id", "item_id")
+    for block, block_words in ((2000, 10_000), (2, 10_000), (2000, 70)):
+        got = rows(leaks.leaks(docs, items, block=block, block_words=block_words, bits=1 << 16), "doc_id", "item_id")
         want = sorted([(d, i) for d, (_, s) in CASES.items() for i in s] + [(10, 1), (10, 6)])
         assert got == want
 
@@ -69,6 +69,29 @@ def test_hits_are_all_windows_that_agree_under_a_mask():
     assert {n: got[1].get(n, []) for n in want} == {n: sorted(w) for n, w in want.items()}
 
 
+def test_a_slip_next_to_an_end():
+    for n in (20, 21, 22, 24):
+        for at in (1, 2, n - 3, n - 2):
+            quoted = P1[10 : 10 + n]
+            if at in (1, n - 2):  # the lone word beyond the slip must be a telling one
+                assert len(quoted[at - 1 if at == 1 else at + 1]) > 3
+            text = f"{FILL} {' '.join('outra' if i == at else w for i, w in enumerate(quoted))} {FILL}"
+            assert leaks.leaked(leaks.Index(ITEMS[:1]), [text]) == [[(1, n)]], (n, at)
+    assert leaks.leaked(leaks.Index(ITEMS[:1]), [f"{FILL} {' '.join(P1[10:28])} outra {FILL}"]) == [[]]
+
+
+def test_many_items_in_blocks(spark):
+    """20,000 items that share stock phrases, in blocks and in one."""
+    stock = [words(7, 1000 + i) for i in range(20)]
+    own = [words(22, 5000 + i) for i in range(200)]
+    items = [(i, " ".join(stock[i % 20] + own[i % 200][: 22 - i % 3] + words(8, 10_000 + i))) for i in range(20_000)]
+    docs = [(j, f"{FILL} {items[j * 97][1]} {' '.join(stock[j % 20])}") for j in range(60)] + [(99, " ".join(" ".join(s) for s in stock))]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, passage string")
+    whole = rows(leaks.leaks(docs, items), "doc_id", "item_id", "words")
+    assert whole == rows(leaks.leaks(docs, items, block=7000), "doc_id", "item_id", "words")
+    assert {(j, j * 97) for j in range(60)} <= {(d, i) for d, i, _ in whole} and not any(d == 99 for d, _, _ in whole)
+
+
 def test_words():
     assert leaks.fold("É s0,  A-b 12h (x)") == ["e", "so", "ab", "12h", "x"]
     assert leaks.near("tabeliao", "tabeliäo".replace("ä", "o")) and not leaks.near("12", "13") and not leaks.near("sol", "mar")
