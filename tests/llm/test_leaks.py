@@ -83,8 +83,8 @@ def test_a_slip_next_to_an_end():
 def test_many_items_in_blocks(spark):
     """20,000 items that share stock phrases, in blocks and in one."""
     stock = [words(7, 1000 + i) for i in range(20)]
-    own = [words(22, 5000 + i) for i in range(200)]
-    items = [(i, " ".join(stock[i % 20] + own[i % 200][: 22 - i % 3] + words(8, 10_000 + i))) for i in range(20_000)]
+    own = [words(22, 5000 + i) for i in range(2000)]
+    items = [(i, " ".join(stock[i % 20] + own[i % 2000][: 22 - i % 3] + words(8, 10_000 + i))) for i in range(20_000)]
     docs = [(j, f"{FILL} {items[j * 97][1]} {' '.join(stock[j % 20])}") for j in range(60)] + [(99, " ".join(" ".join(s) for s in stock))]
     docs, items = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, passage string")
     whole = rows(leaks.leaks(docs, items), "doc_id", "item_id", "words")
