@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +66,23 @@ def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if is_small(df, limit) else df
 
 
+def skew_join(rows: DataFrame, facts: DataFrame, on: Sequence[str], counts: DataFrame, how: str = "inner", floor: int = 100_000, share: int = 10_000) -> DataFrame:
+    """`rows` joined with `facts` (one row a key), whatever part of the rows one key holds.
+
+    `counts`: the columns `on` and `_n`, the number of rows of a key. A key with more than
+    `floor` rows and more than a `share`-th of all is hot; there can't be more than `share`
+    such keys, so their list is broadcast. Rows of a hot key are salted by their content
+    and its fact is repeated for every salt; all other keys are joined as they are.
+    """
+    total = counts.agg(F.sum("_n").alias("_total"))
+    hot = counts.crossJoin(F.broadcast(total)).where((F.col("_n") > floor) & (F.col("_n") * share > F.col("_total")))
+    hot = F.broadcast(hot.select(*on, F.least(F.ceil(F.col("_n") / F.greatest(F.col("_total") / 1000, F.lit(floor))), F.lit(1000)).cast("int").alias("_copies")))
+    plain = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
+    salted = rows.join(hot, [*on], "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.coalesce("_copies", F.lit(1))).cast("int")).drop("_copies")
+    copied = facts.where(plain).join(hot, [*on], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))).drop("_copies")
+    return salted.join(copied, [*on, "_salt"], how).drop("_salt")
+
+
 def spread(df: DataFrame, per_task: int = 1) -> DataFrame:
     """`df` over at least as many partitions as there are cores, for work heavy in Python."""
     want = df.sparkSession.sparkContext.defaultParallelism * per_task

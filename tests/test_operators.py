@@ -223,3 +223,18 @@ def test_streaming_inbox(spark, tmp_path):
 
     assert rows(spark.read.parquet(str(tmp_path / "first")), "process_number", "raw_json") == [("1", "x"), ("2", "z")]
     assert rows(read_latest(spark, str(tmp_path / "latest")), "process_number", "raw_json") == [("1", "late"), ("2", "z")]
+
+
+def test_skew_join(spark):
+    from pyspark.sql import functions as F
+
+    from folhario.runtime import skew_join
+
+    data = [(i, "hot" if i % 3 else f"k{i % 7}") for i in range(300)] + [(900, None), (901, "none")]
+    left = spark.createDataFrame(data, "id int, k string").repartition(3)
+    facts = spark.createDataFrame([("hot", 1), *[(f"k{i}", i) for i in range(7)], (None, 9)], "k string, v int")
+    counts = left.where("k is not null").groupBy("k").agg(F.count("*").alias("_n"))
+    for how in ("inner", "left"):
+        want = rows(left.join(facts, "k", how), "id", "v")
+        assert rows(skew_join(left, facts, ["k"], counts, how, floor=10, share=4), "id", "v") == want
+        assert rows(skew_join(left, facts, ["k"], counts.limit(0), how), "id", "v") == want
