@@ -3,13 +3,17 @@
 Token-level repair. The different values are cut into tokens; each different token is
 joined to the reference vocabulary by edit distance (tokens and vocabulary meet on the
 strings they have in common after a few deletions, an equi-join, and the distance is
-then checked). The repaired tokens rank the entries by soft TF-IDF. An exact check
-follows for the kind of value: every word of a place must be accounted for on both
-sides; the parts of a person's name must agree in order; a trade needs a clear score.
-
-All rows of one value are one row from the start (aggregated map-side), so a value that
+then checked). A word of a trade is in the vocabulary under the forms of its family too
+(`FAMILIES`) and by its beginnings, for abbreviations. The repaired tokens rank the
+entries by soft TF-IDF. An exact check follows for the kind of value: every word of a
+place must be accounted for on both sides; the parts of a person's name must agree in
+order; a trade needs a clear score, or no other entry that has all of its words.
+
+All rows of one value are one row from the start (aggregated map-side), and the answers
+are joined back with the rows of frequent values split (`skew_join`), so a value that
 a third of all rows hold is no heavier than another. The reference lists are small
-tables with a checked bound (`largest`).
+tables with a checked bound (`largest`). Words that only general knowledge connects
+with a trade are an optional list (`other_words`), which may be empty.
 
 Defined cases: nulls, blanks and stand-ins for an absent value give no row; every other
 value gives exactly one row, -1 where no entry is meant; ties of score go to the
@@ -22,7 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from typing import NamedTuple
 
@@ -32,63 +36,27 @@ from pyspark.sql import functions as F
 
 from folhario.functions.values import filled
 from folhario.llm.names import COMMON_GIVEN, Name, agree, allowed, fold, is_initial, osa, parse, skeleton
-from folhario.runtime import bounded_rows
+from folhario.runtime import bounded_rows, skew_join
 
 NONE = -1
 
-#: Trades: other words for an entry (general knowledge of Brazilian expert evidence), folded as `_trade_tokens` does.
-TRADE_ALIASES = {
-    "Médico Psiquiatra": "psiquiatra, psiquiatria, med psiquiatra, medica psiquiatra, saude mental",
-    "Médico Ortopedista": "ortopedista, ortopedia, med ortopedista e traumatologista, traumato ortopedista, traumatologia, medica ortopedista",
-    "Médico Neurologista": "neurologista, neurologia, med neuro, neuro, medica neurologista",
-    "Médico Cardiologista": "cardiologista, cardiologia, med cardio, cardio, medica cardiologista",
-    "Médico do Trabalho": "medicina do trabalho, med do trab, medico trabalhista, medica do trabalho",
-    "Médico Oftalmologista": "oftalmologista, oftalmologia, oftalmo, oculista, medico oculista, medica oftalmologista",
-    "Médico Clínico Geral": "clinico geral, clinica geral, clinica medica, generalista medicina, medico generalista, medica clinica geral",
-    "Médico Legista": "legista, medicina legal, medico legal, medica legista",
-    "Médico Pediatra": "pediatra, pediatria, medica pediatra",
-    "Médico Dermatologista": "dermatologista, dermatologia, dermato, medica dermatologista",
-    "Cirurgião-Dentista": "dentista, odontologia, odontologo, odontologa, cirurgia dentista, cirurgiao dentista, cirurgia odontologica",
-    "Psicólogo": "psicologa, psicologia",
-    "Assistente Social": "assist social, a social, servico social",
-    "Fisioterapeuta": "fisio, fisioterapia",
-    "Enfermeiro": "enf, enfermeira, enfermagem",
-    "Fonoaudiólogo": "fono, fonoaudiologa, fonoaudiologia",
-    "Terapeuta Ocupacional": "t o, terapia ocupacional",
-    "Nutricionista": "nutric, nutricao",
-    "Grafotécnico": "grafotecnica, grafologista, grafologia, grafoscopia, grafocopista, grafoscopista, exame grafotecnico",
-    "Documentoscopista": "documentoscopia, exame de documentos",
-    "Papiloscopista": "papiloscopia, datiloscopista, datiloscopia",
-    "Engenheiro Civil": "engenheira civil, engenharia civil, eng civil, engo civil",
-    "Engenheiro Eletricista": "engenheira eletricista, engenharia eletrica, eng eletricista, engo eletr, eng eletr, engenheiro eletrico",
-    "Engenheiro Mecânico": "engenheira mecanica, engenharia mecanica, eng mec, engo mec",
-    "Engenheiro Agrônomo": "engenheira agronoma, eng agronoma, eng agronomo, agronomo, agronoma, agronomia",
-    "Engenheiro Ambiental": "engenheira ambiental, engenharia ambiental, eng amb, engo amb",
-    "Engenheiro de Minas": "engenheira de minas, engenharia de minas, eng minas, engo minas",
-    "Engenheiro Químico": "engenheira quimica, engenharia quimica, eng quim, engo quim",
-    "Engenheiro de Segurança do Trabalho": "seguranca do trabalho, engenharia de seguranca do trabalho, engenheira de seguranca do trabalho, eng seg trab, engo seguranca trabalho",
-    "Engenheiro Cartógrafo": "engenheira cartografa, eng cartografo, cartografo, cartografia",
-    "Agrimensor": "agrimensora, agrimensura, topografo, topografo agrimensor, eng agrimensor, engenheiro agrimensor",
-    "Arquiteto e Urbanista": "arq, arquiteto, arquiteta, arquitetura, arquiteta urbanista, urbanista",
-    "Corretor de Imóveis": "corretora de imov, corretora de imoveis, corretor imobiliario, avaliador de imoveis, avaliacao de imoveis",
-    "Leiloeiro": "leiloeira, leiloeiro oficial",
-    "Avaliador de Máquinas": "aval maquinas, avaliacao de maquinas, avaliadora de maquinas",
-    "Contador": "contadora, contabilidade, contabil, ciencias contabeis",
-    "Economista": "economia, ciencias economicas",
-    "Atuário": "atuaria, ciencias atuariais",
-    "Administrador": "adm, administradora, administracao, administradora de empresas, administrador de empresas",
-    "Analista de Sistemas": "informatica, em informatica, analista sist, ti analise de sistemas, analise de sistemas",
-    "Tradutor e Intérprete": "tradutor, tradutora, interprete, traducao juramentada, tradutor juramentado, traducao",
-    "Intérprete de Libras": "libras, int de libras, tradutor de libras",
-    "Médico Veterinário": "veterinario, veterinaria, med vet, medicina veterinaria, medica veterinaria",
-    "Biólogo": "biologa, biologia",
-    "Geólogo": "geologa, geologia",
-    "Químico": "quimica",
-    "Farmacêutico": "farmaceutica, farmacia, farmac bioquimico, bioquimico",
-    "Historiador da Arte": "historia da arte, hist da arte, historiadora da arte",
-}
+#: Endings that words of one trade take in Portuguese: who does it, what it is, what belongs to it.
+FAMILIES = (
+    "logista logia logo loga logico logica", "nomista nomia nomo noma nomicas nomico nomica", "scopista scopia scopico", "grafo grafia grafa grafico grafica", "terapeuta terapia", "iatra iatria",
+    "cionista cao", "ricista rica rico", "edista edia edico edica", "alista alise", "anista anismo ano", "eiro eira aria agem", "iador ia iadora", "ador adora acao ativo ativa", "utor utora ucao",
+    "ensor ensora ensura", "etor etora etagem", "eto eta etura", "ceutico ceutica cia", "dico dica dicina", "nico nica nia", "ario aria ariais", "prete pretacao", "ico ica", "ivil ivis", "al ais", "o a", "or ora",
+)
+#: Other words for a trade that neither its letters nor its family show (general knowledge): a word for a word, or a phrase for a phrase.
+OTHER_WORDS = {
+    "traumatologista": "ortopedista", "oculista": "oftalmologista", "generalista": "clinico", "odontologo": "dentista", "grafologista": "grafotecnico", "grafoscopista": "grafotecnico", "grafocopista": "grafotecnico",
+    "datiloscopista": "papiloscopista", "topografo": "agrimensor", "imobiliario": "imoveis", "contabilidade": "contador", "contabil": "contador", "contabeis": "contador", "legal": "legista", "bioquimico": "farmaceutico",
+    "trabalhista": "trabalho", "saude mental": "psiquiatria", "servico social": "assistente social", "exame grafotecnico": "grafotecnico", "exame de documentos": "documentoscopista", "avaliador de imoveis": "corretor de imoveis",
+    "ciencias contabeis": "contador", "ciencias economicas": "economista", "ciencias atuariais": "atuario", "informatica": "analista de sistemas", "ti": "analista de sistemas", "interprete": "tradutor e interprete",
+    "traducao juramentada": "tradutor", "administrador de empresas": "administrador", "clinica medica": "medico clinico geral", "generalista medicina": "medico clinico geral", "tradutor de libras": "interprete de libras",
+    "engenheiro agrimensor": "agrimensor", "topografo agrimensor": "agrimensor", "farmaceutico bioquimico": "farmaceutico", "cirurgia odontologica": "cirurgiao dentista",
+}
 #: Words around a trade that say nothing about it (fixed vocabulary).
-TRADE_NOISE = frozenset("perito perita peritos area cpf nomeado nomeada judicial trata trate nos autos profissao especialidade habilitacao formacao em dr dra sr sra o".split())
+TRADE_NOISE = frozenset("perito perita peritos area cpf nomeado nomeada judicial trata trate nos autos profissao especialidade habilitacao formacao em dr dra sr sra oficial".split())
 TRADE_STOP = frozenset("de da do das dos e".split())
 #: Short forms in the names of places (general knowledge).
 PLACE_SHORT = {
@@ -110,9 +78,11 @@ def _words(text: str) -> list[str]:
 
 
 def trade_tokens(text: str) -> list[str]:
-    """The telling words of a trade as typed; `e.`-like single letters are kept for T.O. and A. Social."""
-    words = _words(re.sub(r"\(\s*[aA]\s*\)", " ", text))
-    return [w for w in words if w not in TRADE_NOISE and w not in TRADE_STOP and not w.isdigit()]
+    """The telling words of a trade as typed; single letters stand behind them, or alone where there is nothing else."""
+    words = [w for w in _words(re.sub(r"\(\s*[aA]\s*\)", " ", text)) if not w.isdigit()]
+    telling = [w for w in words if len(w) > 1 and w not in TRADE_NOISE and w not in TRADE_STOP]
+    letters = [w for w in words if len(w) == 1]
+    return telling + [w for w in letters if w not in "eo"] if telling else letters
 
 
 def place_tokens(text: str) -> list[str]:
@@ -127,15 +97,43 @@ def person_tokens(text: str) -> list[str]:
 TOKENS = {"trade": trade_tokens, "place": place_tokens, "person": person_tokens}
 
 
-def entries_of(kind: str, rows: list[tuple[int, str]]) -> list[Entry]:
-    """The entries of a reference list, for trades also under their other names."""
-    out = []
-    for ref_id, name in rows:
-        if name is None:
-            continue
-        out.append(Entry(ref_id, tuple(TOKENS[kind](name))))
-        if kind == "trade":
-            out += [Entry(ref_id, tuple(trade_tokens(a))) for a in TRADE_ALIASES.get(name, "").split(",") if trade_tokens(a)]
+def family(token: str) -> set[str]:
+    """A word of a trade and the words its family makes of it."""
+    out = {token}
+    for endings in map(str.split, FAMILIES):
+        out |= {token[: -len(e)] + x for e in endings if token.endswith(e) and (len(token) - len(e) >= 2 or len(e) > 6) for x in endings}
+    return out
+
+
+def forms_of(kind: str, tokens: Iterable[str], other_words: dict[str, str]) -> list[tuple[str, str, float]]:
+    """(token, form, how surely the form stands for it) of a vocabulary."""
+    if kind != "trade":
+        return [(t, t, 1.0) for t in tokens]
+    typed = defaultdict(list)
+    for a, b in other_words.items():
+        if " " not in a and " " not in b:
+            typed[b].append(a)
+    best: dict[tuple[str, str], float] = {}
+    for t in tokens:
+        for form, sure in [(t, 1.0), *((f, 0.97) for f in family(t)), *((f, 0.95) for a in typed[t] for f in family(a))]:
+            best[t, form] = max(best.get((t, form), 0.0), sure)
+    return [(t, f, s) for (t, f), s in sorted(best.items())]
+
+
+def entries_of(kind: str, rows: list[tuple[int, str]], other_words: dict[str, str] | None = None) -> list[Entry]:
+    """The entries of a reference list, for trades also under the other phrases that mean one of them."""
+    out = [Entry(ref_id, tuple(TOKENS[kind](name))) for ref_id, name in rows if name is not None]
+    if kind == "trade":
+        ranker = Ranker(kind, [e for e in dict.fromkeys(out) if e.tokens])
+        known = defaultdict(list)
+        for t, form, sure in forms_of(kind, ranker.where, {}):
+            known[form].append((t, sure))
+        for typed, meant in (other_words or {}).items():
+            if " " in typed or " " in meant:
+                tokens = trade_tokens(meant)
+                ref_id = ranker.meant(meant, tokens, {t: known[t] for t in tokens if t in known})
+                if ref_id != NONE:
+                    out.append(Entry(ref_id, tuple(trade_tokens(typed))))
     return [e for e in dict.fromkeys(out) if e.tokens]
 
 
@@ -169,6 +167,24 @@ def similar(a: str, b: str) -> float:
     return 1.0 - d / max(len(a), len(b)) if most else 0.0
 
 
+def beginnings(form: str) -> set[str]:
+    """How a word may be cut short, with a slip."""
+    return {k for n in range(1, min(len(form), 9)) for k in deletions(form[:n], n > 3)}
+
+
+def shortened(a: str, form: str) -> float:
+    """How surely `a` is `form` cut short: the more letters the surer, less with a slip."""
+    if len(a) == 4 and a[-1] in "oa" and form.startswith(a[:3]):
+        a = a[:3]  # the raised letter of an abbreviation
+    if len(a) >= len(form):
+        return 0.0
+    if form.startswith(a):
+        return {1: 0.6, 2: 0.7, 3: 0.85}.get(len(a), 0.95)
+    near = len(a) >= 3 and a[0] == form[0] and any(a == form[: len(a) + 1][:i] + form[: len(a) + 1][i + 1 :] for i in range(1, len(a) + 1))
+    near = near or len(a) >= 4 and len(form) > len(a) + 1 and a[0] == form[0] and min(osa(a, form[: len(a) + x], 1) for x in (-1, 0, 1)) <= 1
+    return 0.75 if near else 0.0
+
+
 class Ranker:
     """Soft TF-IDF over the entries of one reference list."""
 
@@ -211,8 +227,26 @@ class Ranker:
         return {"trade": self._trade, "place": self._place, "person": self._person}[self.kind](text, tokens, repairs, ranked)
 
     def _trade(self, text, tokens, repairs, ranked) -> int:
-        score, i = ranked[0]
-        return self.entries[i].ref_id if score >= TRADE_LEAST else NONE
+        tokens = list(dict.fromkeys(tokens))
+        if len(tokens) > 1 and all(len(t) == 1 for t in tokens):
+            ids = {e.ref_id for e in self.entries if [t[0] for t in e.tokens] == tokens}
+            return ids.pop() if len(ids) == 1 else NONE
+        scored = []
+        for _, i in ranked:
+            e, dot, own, whole = self.entries[i], 0.0, 0.0, True
+            for t in tokens:
+                fits = repairs.get(t, [])
+                mine = max(((s, self.weight[r]) for r, s in fits if r in e.tokens), default=(0.0, 0.0))
+                whole = whole and mine[0] >= 0.7
+                dot += mine[0] * mine[1] ** 2
+                own += (mine[1] or max((self.weight[r] for r, _ in fits), default=self.unknown)) ** 2
+            scored.append((-dot / (math.sqrt(own) * self.norm[i]), e.ref_id, whole))
+        scored.sort()
+        score, ref_id, whole = scored[0]
+        if -score >= TRADE_LEAST:
+            return ref_id
+        alone = whole and not any(w and r != ref_id for _, r, w in scored)
+        return ref_id if alone and -score >= TRADE_ALONE else NONE
 
     def _place(self, text, tokens, repairs, ranked) -> int:
         for _, i in ranked:
@@ -240,10 +274,11 @@ class Ranker:
     suffixes: dict[int, str] = {}
 
 
-TRADE_LEAST = 0.72
+#: The score a trade needs, and the one that will do where no other entry has all of its words.
+TRADE_LEAST, TRADE_ALONE = 0.7, 0.45
 
 
-def canonical(df: DataFrame, fields: dict[str, tuple[str, DataFrame, str, str]], key: str = "rec_id", largest: int = 100_000) -> DataFrame:
+def canonical(df: DataFrame, fields: dict[str, tuple[str, DataFrame, str, str]], key: str = "rec_id", largest: int = 100_000, other_words: dict[str, str] = OTHER_WORDS) -> DataFrame:
     """(rec_id, field_name, ref_id) of every value that says something.
 
     `fields`: field -> (kind: trade, place or person; reference table; its id; its name).
@@ -255,7 +290,7 @@ def canonical(df: DataFrame, fields: dict[str, tuple[str, DataFrame, str, str]],
     held = spark.sparkContext.broadcast(rankers)
 
     stacked = reduce(DataFrame.unionByName, [df.select(key, F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in fields]).where(filled(F.col("value")))
-    values = stacked.select("field_name", "value").distinct()
+    values = stacked.groupBy("field_name", "value").agg(F.count("*").alias("_n"))
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -267,24 +302,32 @@ def canonical(df: DataFrame, fields: dict[str, tuple[str, DataFrame, str, str]],
     pieces = values.mapInPandas(cut_up, "field_name string, value string, tokens array<string>")
     tokens = pieces.select("field_name", F.explode("tokens").alias("token")).distinct()
     vocabulary = spark.createDataFrame(
-        sorted({(f, t) for f, (kind, rows) in rankers.items() for e in entries_of(kind, rows) for t in e.tokens}), "field_name string, ref string"
+        [(f, kind, *form) for f, (kind, rows) in rankers.items() for form in forms_of(kind, sorted({t for e in entries_of(kind, rows, other_words) for t in e.tokens}), other_words)],
+        "field_name string, kind string, ref string, form string, sure double",
     )
 
-    def keys(column: str):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                rows = [(f, t, k) for f, t in zip(batch["field_name"], batch[column]) for k in {*deletions(t, depth_of(t)), *deletions(skeleton(t), min(depth_of(t), 1))}]
-                yield pd.DataFrame(rows, columns=["field_name", column, "k"])
+    def token_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(f, t, k) for f, t in zip(batch["field_name"], batch["token"]) for k in {*deletions(t, depth_of(t)), *deletions(skeleton(t), min(depth_of(t), 1))}]
+            yield pd.DataFrame(rows, columns=["field_name", "token", "k"])
 
-        return run
+    def form_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for f, kind, r, form, sure in batch.itertuples(index=False):
+                every = {*deletions(form, depth_of(form)), *deletions(skeleton(form), min(depth_of(form), 1))} | (beginnings(form) if kind == "trade" else set())
+                rows += [(f, kind, r, form, sure, k) for k in every]
+            yield pd.DataFrame(rows, columns=[*batch.columns, "k"])
 
     @F.pandas_udf("double")
-    def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similar(x, y) for x, y in zip(a, b)], dtype="float64")
+    def likeness(kind: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([max(similar(x, y), shortened(x, y) if k == "trade" else 0.0) for k, x, y in zip(kind, a, b)], dtype="float64")
 
     # the vocabulary is a few thousand words of checked tables; Spark takes its size into account by itself
-    met = tokens.mapInPandas(keys("token"), "field_name string, token string, k string").join(vocabulary.mapInPandas(keys("ref"), "field_name string, ref string, k string"), ["field_name", "k"]).select("field_name", "token", "ref").distinct()
-    repaired = met.withColumn("s", likeness("token", "ref")).where("s > 0").groupBy("field_name", "token").agg(F.collect_list(F.struct("ref", "s")).alias("fits"))
+    forms = vocabulary.mapInPandas(form_keys, "field_name string, kind string, ref string, form string, sure double, k string")
+    met = tokens.mapInPandas(token_keys, "field_name string, token string, k string").join(forms, ["field_name", "k"]).select("field_name", "token", "kind", "ref", "form", "sure").distinct()
+    liked = met.withColumn("s", likeness("kind", "token", "form") * F.col("sure")).where("s > 0").groupBy("field_name", "token", "ref").agg(F.max("s").alias("s"))
+    repaired = liked.groupBy("field_name", "token").agg(F.collect_list(F.struct("ref", "s")).alias("fits"))
     ready = (
         pieces.select("field_name", "value", F.posexplode_outer("tokens").alias("pos", "token"))
         .join(repaired, ["field_name", "token"], "left")
@@ -299,7 +342,7 @@ def canonical(df: DataFrame, fields: dict[str, tuple[str, DataFrame, str, str]],
             for field, value, parts in zip(batch["field_name"], batch["value"], batch["parts"]):
                 if field not in made:
                     kind, refs = held.value[field]
-                    made[field] = Ranker(kind, entries_of(kind, refs))
+                    made[field] = Ranker(kind, entries_of(kind, refs, other_words))
                     if kind == "person":
                         named = {r: parse(n).suffix for r, n in refs if n}
                         made[field].suffixes = {i: named.get(e.ref_id, "") for i, e in enumerate(made[field].entries)}
@@ -309,4 +352,4 @@ def canonical(df: DataFrame, fields: dict[str, tuple[str, DataFrame, str, str]],
             yield pd.DataFrame(rows, columns=["field_name", "value", "ref_id"])
 
     mapping = ready.mapInPandas(decide, "field_name string, value string, ref_id int")
-    return stacked.join(mapping, ["field_name", "value"], "left").select(key, "field_name", F.coalesce("ref_id", F.lit(NONE)).alias("ref_id"))
+    return skew_join(stacked, mapping, ["field_name", "value"], values, "left").select(key, "field_name", F.coalesce("ref_id", F.lit(NONE)).alias("ref_id"))

@@ -38,14 +38,33 @@ def test_empty_tables(spark):
     assert rows(canonical.canonical(some, {"a": ("trade", t.limit(0), "id", "name")}), "rec_id", "ref_id") == [(1, -1)]
 
 
-def test_every_alias_names_its_entry():
-    entries = canonical.entries_of("trade", [(i, n) for i, n in enumerate(canonical.TRADE_ALIASES)])
+def means(text, names, other_words):
+    """What a trade means among `names`, all forms tried."""
+    entries = canonical.entries_of("trade", list(enumerate(names)), other_words)
     ranker = canonical.Ranker("trade", entries)
-    for i, (name, aliases) in enumerate(canonical.TRADE_ALIASES.items()):
-        for a in [name, *aliases.split(",")]:
-            tokens = canonical.trade_tokens(a)
-            fits = {t: [(r, s) for r in ranker.weight if (s := canonical.similar(t, r)) > 0] for t in tokens}
-            assert ranker.meant(a, tokens, fits) == i, a
+    forms = canonical.forms_of("trade", ranker.where, other_words)
+    tokens = canonical.trade_tokens(text)
+    fits = {}
+    for t in tokens:
+        best = {}
+        for r, form, sure in forms:
+            best[r] = max(best.get(r, 0.0), sure * max(canonical.similar(t, form), canonical.shortened(t, form)))
+        fits[t] = [(r, s) for r, s in best.items() if s > 0]
+    return ranker.meant(text, tokens, fits)
+
+
+def test_words_of_a_family_without_a_word_list():
+    names = ["Médico Psiquiatra", "Médico Cardiologista", "Engenheiro Agrônomo", "Arquiteto e Urbanista", "Terapeuta Ocupacional", "Historiador da Arte", "Tradutor e Intérprete", "Enfermeiro", "Engenheiro Mecânico", "Administrador"]
+    same = [("psiquiatria", 0), ("méd. psiquiatra", 0), ("cardiologia", 1), ("med. cardio", 1), ("engª agrônoma", 2), ("agronomia", 2), ("arquitetura", 3), ("arq.", 3), ("T.O.", 4), ("terapia ocupacional", 4), ("hst. da arte", 5), ("tradução", 6), ("enfermagem", 7), ("eng. mec.", 8), ("adm.", 9), ("médico", -1), ("engenheiro", -1), ("piscicultor", -1), ("t", -1)]
+    assert [means(t, names, {}) for t, _ in same] == [i for _, i in same]
+
+
+def test_other_words_are_optional_and_know_no_entry():
+    names = ["Agrimensor", "Médico Oftalmologista"]
+    assert means("topógrafo", names, {}) == -1
+    assert means("topógrafo", names, canonical.OTHER_WORDS) == 0
+    assert means("oculistta", names, canonical.OTHER_WORDS) == 1
+    assert means("saúde mental", names, canonical.OTHER_WORDS) == -1
 
 
 def test_every_ranked_entry_is_checked():
