@@ -8,7 +8,8 @@ a number are joined.
 Every row has a profile: how many fields are filled and how far its method is trusted.
 A group is first reduced, map-side, to one cell for each profile with its most recent
 row, at most 13 x (methods + 1) cells whatever the group's size, so a group that holds a
-third of all rows is no heavier than another. The skyline of the cells (those that no
+third of all rows is no heavier than another; its members are joined to their survivor
+with the rows of large groups split (`skew_join`). The skyline of the cells (those that no
 other cell beats or equals in completeness, trust and recency) is found on that bounded
 list; the survivor is the first of the skyline by a lexicographic policy. Peeling
 skylines off gives dominance layers, from which the survivor's empty fields are filled,
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folhario.functions.values import filled, fold
+from folhario.runtime import skew_join
 
 FIELDS = ("processo", "juizo", "perito_nome", "cpf_perito", "especialidade", "valor_arbitrado", "valor_tabelado", "numero_autos", "autor", "parte_contraria", "destino", "comarca")
 LAST_RANK = 1_000_000
@@ -78,7 +80,7 @@ def cells(rows: DataFrame) -> DataFrame:
     """Per group the bounded list of its profiles, each with its most recent row, and the number of rows."""
     best = F.max(F.struct("_when", (-F.col("_key")).alias("_neg"))).alias("_best")
     per = rows.groupBy("_group", "_page", "_full", "_rank").agg(best, F.count("*").alias("_n"))
-    cell = F.struct("_full", F.negate("_rank").alias("_trust"), F.col("_best._when").alias("_when"), F.col("_best._neg").alias("_neg"))
+    cell = F.struct("_full", F.negate("_rank").alias("_trust"), F.col("_best._when").alias("_when"), F.col("_best._neg").alias("_neg"), "_n")
     return per.groupBy("_group", "_page").agg(F.collect_list(cell).alias("_cells"), F.sum("_n").alias("_n")).where("_n > 1")
 
 
@@ -100,8 +102,9 @@ def survivors(df: DataFrame, methods: DataFrame, **columns) -> DataFrame:
     smallest id; fields of a cell compare in that order.
     """
     rows = profiles(df, methods, **columns)
-    chosen = skyline(cells(rows)).select("_group", "_page", F.negate(F.array_max("_sky")["_neg"]).alias("survivor_id"))
-    return rows.select(F.col("_key").alias("rec_id"), "_group", "_page").join(chosen, ["_group", "_page"]).select("rec_id", "survivor_id")
+    chosen = skyline(cells(rows)).select("_group", "_page", F.negate(F.array_max("_sky")["_neg"]).alias("survivor_id"), "_n")
+    members = rows.select(F.col("_key").alias("rec_id"), "_group", "_page")
+    return skew_join(members, chosen.drop("_n"), ["_group", "_page"], chosen).select("rec_id", "survivor_id")
 
 
 def _layers(lists: pd.Series) -> pd.Series:
@@ -130,8 +133,8 @@ def golden(df: DataFrame, methods: DataFrame, fields: Sequence[str] = FIELDS, **
     rows = profiles(df, methods, fields=fields, **columns)
     grouped = cells(rows).withColumn("_layer", F.pandas_udf(_layers, "array<int>")("_cells"))
     flat = grouped.select("_group", "_page", F.explode(F.arrays_zip("_cells", "_layer")).alias("_c"))
-    ranked = flat.select("_group", "_page", F.col("_c._cells._full").alias("_full"), F.negate(F.col("_c._cells._trust")).alias("_rank"), F.col("_c._layer").alias("_layer"))
-    joined = rows.join(ranked, ["_group", "_page", "_full", "_rank"])
+    ranked = flat.select("_group", "_page", F.col("_c._cells._full").alias("_full"), F.negate(F.col("_c._cells._trust")).alias("_rank"), F.col("_c._layer").alias("_layer"), F.col("_c._cells._n").alias("_n"))
+    joined = skew_join(rows, ranked.drop("_n"), ["_group", "_page", "_full", "_rank"], ranked)
     order = F.struct("_layer", (-F.col("_full")).alias("a"), F.col("_rank").alias("b"), (-F.col("_when")).alias("c"), F.col("_key").alias("d"))
     built = [F.min_by(f, F.when(filled(F.col(f).cast("string")), order)).alias(f) for f in fields]
     return joined.groupBy("_group", "_page").agg(F.min_by("_key", order).alias("survivor_id"), F.count("*").alias("members"), *built).drop("_group", "_page")
