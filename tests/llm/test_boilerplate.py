@@ -67,6 +67,36 @@ def test_misread_lines_are_found(spark):
     assert got == [(i,) for i in range(60)]
 
 
+def many_lines(spark):
+    """One source, twenty pages, 1,500 lines on every page."""
+    letters = "bcdfghjklmnpqrstvwxz"
+    word = lambda i, m: "".join(letters[(i // m**j) % m] for j in range(4))
+    lines = [f"{word(i * 7919 % 160_000, 20)} {word((i + 3) * 104_729 % 160_000, 20)} {word(i * i % 160_000, 20)}" for i in range(1500)]
+    pages = spark.createDataFrame([(p, 1, None, None, "\n".join(lines), "", 0) for p in range(20)], SCHEMA)
+    return pages, spark.createDataFrame([(1, "u")], "cache_id long, source string")
+
+
+def test_no_line_is_lost_to_a_full_sketch(spark):
+    pages, sources = many_lines(spark)
+    for tracked in (4096, 256):  # enough counters, and so few that the source is counted exactly
+        got = boilerplate.repeated_lines(pages, sources, tracked=tracked)
+        assert got.count() == 20 * 1500
+
+
+def test_large_tables_are_joined_not_broadcast(spark):
+    pages, sources = corpus(spark)
+    got = rows(boilerplate.repeated_lines(pages, sources, small=0, small_lines=0, tracked=16), "page_id", "field_name", "line_no")
+    assert got == rows(boilerplate.repeated_lines(pages, sources), "page_id", "field_name", "line_no")
+
+
+def test_small_steps_do_not_chain(spark):
+    import pandas as pd
+
+    keys = ["bcdfghjklmnpqrstvwxz"[i:] + "bcdfghjklmnpqrstvwxz"[:i] for i in (0,)] + ["bcdfghjklmnpqrstvwzz", "bcdfghjklmnpqrsbvwzz", "bcdfghjklmnpbbsbvwzz", "bcbfgbjklmnpbbsbvwzz"]
+    heads = boilerplate._clusters(pd.Series([[{"k": k, "n": 100 - i} for i, k in enumerate(keys)]]))[0]
+    assert heads == [0, 0, 0, 3, 3]
+
+
 def test_empty_tables(spark):
     pages, sources = corpus(spark, 3)
     assert boilerplate.repeated_lines(pages.limit(0), sources).count() == 0
