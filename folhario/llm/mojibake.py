@@ -3,7 +3,8 @@
 Round trips: a stretch of text is encoded again under a legacy encoding it may have been
 read with, and strictly decoded under the encoding it was written in. UTF-8 read as a
 single-byte encoding gives itself away by its byte structure: a run of non-ASCII
-characters that turns into valid UTF-8 is repaired, again and again for nested layers.
+characters that turns into valid UTF-8, shorter and less garbled, is repaired, again and
+again for nested layers until nothing changes.
 One single-byte encoding read as another has no such structure; there each word is
 weighed by a garbling cost before and after, and the encoding is accepted for a line
 when the cost of the line's words drops.
@@ -30,7 +31,6 @@ from folhario.runtime import without
 READ_AS = ("cp1252", "latin-1", "mac_roman", "cp850", "cp1251", "cp437")
 #: (read as, written in) for single-byte text read as another single-byte encoding.
 SWAPPED = (("mac_roman", "cp1252"), ("cp850", "cp1252"), ("cp437", "cp1252"), ("cp1251", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp850"))
-LAYERS = 6
 
 
 @lru_cache(maxsize=16)
@@ -88,7 +88,8 @@ def _utf8_pass(text: str) -> str:
                 new = bytes(to[c] for c in run).decode("utf-8")
             except UnicodeDecodeError:
                 return run
-            if len(new) >= len(run) or not _plausible(new):
+            # the cost of a run is its characters' and one for each that a sequence has too many
+            if len(new) >= len(run) or not _plausible(new) or word_cost(new) >= word_cost(run) + len(run) - len(new):
                 return run
             gone += len(run)
             return new
@@ -211,10 +212,7 @@ def repair(text: str | None) -> tuple[str | None, bool]:
     if not text or text.isascii():
         return text, False
     now, found = text, "�" in text
-    for _ in range(LAYERS):
-        new = _utf8_pass(now)
-        if new == now:
-            break
+    while (new := _utf8_pass(now)) != now:  # every layer undone leaves a shorter text
         now, found = new, True
     done = _single_byte_pass(now)
     return done, found or done != now

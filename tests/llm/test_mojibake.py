@@ -52,3 +52,11 @@ def test_corpus(spark):
     by = {r.doc_id: (r.repaired, r.garbled) for r in got.collect()}
     assert by[1] == (TEXT, True) and by[2] == (None, False) and by[6] == ("x" * 300_000 + TEXT, True) and by[5] == (TEXT, False)
     assert mojibake.garbled_rows(df.limit(0)).count() == 0
+
+
+def test_layers_without_a_bound():
+    text = "Ação ímpar é coração, Über-gutachten nº 3"
+    bad = text
+    for _ in range(9):
+        bad = bad.encode("utf-8").decode("latin-1")
+        assert mojibake.repair(bad) == (text, True)
