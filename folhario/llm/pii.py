@@ -62,6 +62,7 @@ ELEVEN = re.compile(rf"{_D}(?:[\s.\-/]{{0,3}}{_D}){{10}}(?![\dA-Za-z])")
 SEVEN = re.compile(rf"{_D}(?:[.\-]?{_D}){{5,8}}(?![\dA-Za-z])")
 PHONE = re.compile(r"(?:\+\s?\d{2}\s?)?\(?\s?\d[\d\s().\-]{5,20}\d")
 MAIL = re.compile(r"[\w.+\-]+\s?(?:@|\(at\)|\[at\]|\[arroba\]|\(arroba\)|\barroba\b)\s?[\w\-]+(?:\s?(?:\.|\bponto\b)\s?[\w\-]+)+", re.I)
+SIGN = re.compile(r"@|\(at\)|\[at\]|\[arroba\]|\(arroba\)|\barroba\b", re.I)
 STREET = re.compile(r"\b(?:" + "|".join(sorted(pii_table.STREET_WORDS | {"r"}, key=len, reverse=True)) + r")\b", re.I)
 TITLE = re.compile(r"(?:(?:[oa]\s+)?(?:exm[oa]|ilm[oa]|sr|sra|srta|dr|dra|prof|profa|des|dona)\b\.?\s*(?:\(a\)\.?)?\s*)+", re.I)
 ROAD = re.compile(r"(?:r\.|rua|av\.|avenida|trav\.|travessa|praça|alameda|ladeira|rodovia|qd\.)\s+(?:dona|padre|coronel|conselheiro|doutor|barão|dom|frei|general|major)\b", re.I)
@@ -103,9 +104,19 @@ def checked(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
         digits = sum(c.isdigit() for c in m.group())
         return (m.start(), m.end()) if 8 <= digits <= 13 else None
     if kind == "email":
-        line = max(text.rfind("\n\n", 0, a) + 1, a - 80)
-        for m in MAIL.finditer(text, line, min(len(text), b + 60)):
-            if m.end() > a and m.start() < b:
+        # from the sign the local part is walked back to its start, however long it is; signs are sought in
+        # the whole run of address letters around the mark, and a little beyond it for those written with blanks
+        left, right = a, b
+        while left and (text[left - 1].isalnum() or text[left - 1] in ".+-_@"):
+            left -= 1
+        while right < len(text) and (text[right].isalnum() or text[right] in ".+-_@"):
+            right += 1
+        for sign in SIGN.finditer(text, max(0, left - 60), min(len(text), right + 12)):
+            start = sign.start() - (text[sign.start() - 1 : sign.start()].isspace())
+            while start and (text[start - 1].isalnum() or text[start - 1] in ".+-_"):
+                start -= 1
+            m = MAIL.match(text, start)
+            if m and m.end() > a and m.start() < b:
                 return m.start(), m.end()
         return None
     if kind == "address":
