@@ -35,6 +35,8 @@ def test_components_against_union_find(spark):
     for n in got:
         low[root(n)] = min(low.get(root(n), n), n)
     assert got == {n: low[root(n)] for n in got}
+    star = edges + [("n0", f"s{i}") for i in range(40)]
+    assert rows(components(spark.createDataFrame(star, "a string, b string"), hub=5), "node", "component") == rows(components(spark.createDataFrame(star, "a string, b string")), "node", "component")
     assert components(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
