@@ -125,19 +125,25 @@ def parse(text: str | None):
     return value
 
 
-def label(text: str | None) -> Iterator[tuple[str, int, int, int, str, str]]:
-    """(kind, level, pre, post, node_id, body) of every typed node, in post order.
-
-    The walk is iterative: a frame is entered (pre), its children are pushed, and it is
-    left (post) once they are done. `level` counts typed ancestors.
-    """
+def analysis(text: str | None) -> dict | None:
+    """The analysis that a record holds, out of its envelopes; None where there is none."""
     root = parse(text)
     while isinstance(root, dict):  # every pass goes one level down
         inner = next((v for k, v in root.items() if _norm(str(k)) in ENVELOPES and v is not None), None)
         if inner is None:
             break
         root = parse(inner)
-    if not isinstance(root, dict):
+    return root if isinstance(root, dict) else None
+
+
+def label(text: str | None) -> Iterator[tuple[str, int, int, int, str, str]]:
+    """(kind, level, pre, post, node_id, body) of every typed node, in post order.
+
+    The walk is iterative: a frame is entered (pre), its children are pushed, and it is
+    left (post) once they are done. `level` counts typed ancestors.
+    """
+    root = analysis(text)
+    if root is None:
         return
     clock_pre = clock_post = 0
     # frame: value, kind of this node or None, typed kind above, keys walked since it, position path, level
@@ -216,6 +222,23 @@ def flatten(df: DataFrame, key: str = "process_number", text: str = "raw_json")
     return link_by_containment(interval_nodes(df, key, text))
 
 
+def sections(df: DataFrame, key: str = "process_number", text: str = "raw_json") -> DataFrame:
+    """(key, section, body): a row for each top-level part of a record that isn't null, with its plain fields as JSON."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for k, t in zip(batch["key"], batch["text"]):
+                for name, part in (analysis(t) or {}).items():
+                    inner = parse(part) if isinstance(part, str) and part.lstrip()[:1] in "{[" else part
+                    if inner is not None:
+                        plain = {a: b for a, b in inner.items() if not isinstance(b, (dict, list))} if isinstance(inner, dict) else {}
+                        rows.append((k, _norm(str(name)), json.dumps(plain, ensure_ascii=False)))
+            yield pd.DataFrame(rows, columns=["key", "section", "body"])
+
+    return df.select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text")).mapInPandas(run, "key string, section string, body string")
+
+
 def node_table(flat: DataFrame, kind: str) -> DataFrame:
     """The flat table of one kind."""
     return flat.where(F.col("kind") == kind).drop("kind")
