@@ -223,16 +223,32 @@ def link_organisations(rows: list[tuple[str, tuple[str, ...], str, int]], forms:
     return out
 
 
-def turned(tokens: list[str], given: frozenset[str]) -> list[str]:
-    """A name written without a comma but surname first, put in order."""
-    if len(tokens) < 2 or tokens[0] in given or tokens[0] in NICK or is_initial(tokens[0]):
+class Turner:
+    """Puts names in order that are written surname first without a comma; holds the given names' spellings and tries."""
+
+    def __init__(self, given: frozenset[str]):
+        self.given = given
+        self.plain = {skeleton(g) for g in given}
+        self.words = Vocabulary(given)
+        self.met: dict[str, bool] = {}
+
+    def near(self, token: str) -> bool:
+        """Whether a token may be a given name, misspelled."""
+        if token not in self.met:
+            if len(self.met) > 200_000:
+                self.met.clear()
+            self.met[token] = any(spelled(token, g) is not None for g in self.words.near(token, allowed(token, token)))
+        return self.met[token]
+
+    def __call__(self, tokens: list[str]) -> list[str]:
+        first = tokens[0] if tokens else ""
+        if len(tokens) < 2 or first in self.given or first in NICK or is_initial(first):
+            return tokens
+        if tokens[-1] in self.given:
+            return tokens[::-1]
+        if len(tokens) >= 3 and tokens[1] in self.given and skeleton(first) not in self.plain:
+            return tokens if self.near(first) else tokens[1:] + tokens[:1]
         return tokens
-    if tokens[-1] in given:
-        return tokens[::-1]
-    if len(tokens) >= 3 and tokens[1] in given and skeleton(tokens[0]) not in {skeleton(g) for g in given}:
-        near = any(spelled(tokens[0], g) is not None for g in given)
-        return tokens if near else tokens[1:] + tokens[:1]
-    return tokens
 
 
 def keyed(names: DataFrame) -> DataFrame:
@@ -444,12 +460,13 @@ def links(keys: DataFrame, given: frozenset[str], largest: int = 5000) -> DataFr
     held = keys.sparkSession.sparkContext.broadcast(given)
 
     def spread_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turned = Turner(held.value)
         for batch in batches:
             rows = []
             for key, kind, tokens, suffix, org, n, forms in zip(batch["key"], batch["kind"], batch["tokens"], batch["suffix"], batch["org"], batch["n"], batch["forms"]):
                 tokens = list(tokens)
                 if kind == "person":
-                    tokens = turned(tokens, held.value)
+                    tokens = turned(tokens)
                 for shard in dict.fromkeys(_shards(tokens, kind, org, held.value)):
                     rows.append((shard, key, kind, tokens, org if kind == "org" else suffix, n, forms))
             yield pd.DataFrame(rows, columns=["shard", "key", "kind", "tokens", "suffix", "n", "forms"])
