@@ -43,7 +43,7 @@ def lexicon() -> dict[str, str]:
 
 
 @lru_cache(maxsize=2)
-def model(rows: int = 2000, seed: int = 11) -> Model:
+def model(rows: int = 2400, seed: int = 11) -> Model:
     """The trained model; the table's size is the bound of the sample it is fitted on."""
     number = {k: i for i, k in enumerate(LABELS)}
     data = []
@@ -60,6 +60,7 @@ def model(rows: int = 2000, seed: int = 11) -> Model:
 _D = r"[\dOoIlSsBA]"
 ELEVEN = re.compile(rf"{_D}(?:[\s.\-/]{{0,3}}{_D}){{10}}(?![\dA-Za-z])")
 SEVEN = re.compile(rf"{_D}(?:[.\-]?{_D}){{5,8}}(?![\dA-Za-z])")
+SHAPED = re.compile(rf"{_D}{{3}}\.{_D}{{3}}\.{_D}{{3}}[-/]{_D}{{2}}(?![\dA-Za-z])")
 PHONE = re.compile(r"(?:\+\s?\d{2}\s?)?\(?\s?\d[\d\s().\-]{5,20}\d")
 MAIL = re.compile(r"[\w.+\-]+\s?(?:@|\(at\)|\[at\]|\[arroba\]|\(arroba\)|\barroba\b)\s?[\w\-]+(?:\s?(?:\.|\bponto\b)\s?[\w\-]+)+", re.I)
 SIGN = re.compile(r"@|\(at\)|\[at\]|\[arroba\]|\(arroba\)|\barroba\b", re.I)
@@ -70,12 +71,26 @@ NUMBER = re.compile(r",?\s+(?:n\s*[.º°o]{0,2}\s*)?\d|,\s+(?:s/n|km)", re.I)
 #: What stands before a name that is no person's: a building, or a street whose word the model left out.
 BUILDING = re.compile(r"\b(?:f[óo]rum|edif[íi]cio|pal[áa]cio|escola)\s+(?:des|dr|dra|prof|min|juiz)\b\.?\s*$", re.I)
 STREET_BEFORE = re.compile(r"\b(?:r\.|rua|av\.|avenida|trav\.|travessa|praça|alameda|ladeira|rodovia|qd\.|beco|estrada|largo)\s+(?:(?:dona|padre|coronel|conselheiro|doutor|barão|dom|frei|general|major)\s+)?$", re.I)
+#: A court or unit of which what follows is the place, and words that open one.
+SEAT = re.compile(r"\b(?:vara|secretaria|câmara|comarca|cartório|juizado|turma)(?:\s+(?:d[aeo]s?\s+)?[^\W\d_]+){0,2}\s+d[aeo]s?\s+(?:[^\W\d_]+\s+d[aeo]s?\s+)?$", re.I)
+#: Words for kinds of place (general vocabulary): what begins with one, or with a numeral, is no person's name.
+PLACE_WORDS = frozenset(
+    "agua aguas alto arraial baia baixa baixo barra barreiro brejo cachoeira campo campos chapada corrego estacao fazenda grota ilha ilheus lago lagoa lajes mata mato morro monte montes olho pantano parque pedra pedras ponta ponte porto "
+    "poco pouso praia ribeirao riacho rio salto santo sao serra sertao sitio vale vargem varzea vila um dois tres quatro cinco seis sete oito nove dez onze doze treze quatorze quinze dezesseis vinte trinta fazendas".split()
+)
+#: A street begun before what the model marked: its word and up to three more.
+STREET_LEAD = re.compile(r"\b(?:r\.|rua|av\.|avenida|trav\.|travessa|praça|alameda|ladeira|rodovia|beco|estrada|largo)\s+(?:[^\W\d_]+\s+){0,3}$", re.I)
+SEAT_ENDS = frozenset("de da do das dos são sao sã0 santo santa".split())
 HONOURS = frozenset("des dr dra prof min juiz".split())
 ROADS = frozenset("r rua av avenida trav travessa praça alameda ladeira rodovia qd beco estrada largo dona padre coronel conselheiro doutor barão dom frei general major".split())
 #: A label right before a number settles which number it is.
 LABEL = re.compile(r"\b(CPF|C\.P\.F\.|PIS|NIT|PASEP|RG|Identidade)\b[^\w]{0,3}(?:(?:sob|com|de)\s+)?(?:o\s+)?(?:n\s*[.º°o]{0,2}\s*)?$", re.I)
 LABELLED = {"cpf": "cpf", "c.p.f.": "cpf", "pis": "pis", "nit": "pis", "pasep": "pis", "rg": "rg", "identidade": "rg"}
 WORDS = re.compile(r"[^\W\d_]+")
+#: What no name goes over; words that stand between the parts of a name; verbs that open a sentence.
+PIECE = re.compile(r"[^?!;:()\[\]|\"“”]+")
+SMALL = frozenset("de da do das dos e del di du von van der la y".split())
+VERB = re.compile(r"[aei]u$|[^aeiou]ou$|[aei]ram$|ndo$|eci$|[tdrgsv]ei$|ebi$")
 _NOT_FIRST = frozenset("de da do das dos e o a".split())
 
 
@@ -89,6 +104,35 @@ def _number(pattern: re.Pattern, text: str, a: int, b: int) -> tuple[int, int] |
     return (m.start(), m.end()) if digits >= 0.6 * len(re.sub(r"[\s.\-/]", "", m.group())) else None
 
 
+def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    """A marked name cut to what can be one: no stops, no small words between capitals, no verb before it, no street after it."""
+    best = (a, b)
+    for m in PIECE.finditer(text, a, b):
+        if sum(w.group()[0].isupper() for w in WORDS.finditer(m.group())) > 1 or m.end() == b:
+            best = m.span()
+            break
+    a, b = best
+    words = [w for w in WORDS.finditer(text, a, b)]
+    capital = [w for w in words if w.group()[0].isupper()]
+    if len(capital) > 1:
+        # runs of capitals between small words that are no particles; the first run of two or more is the name
+        runs: list[list[re.Match]] = [[]]
+        for w in words:
+            if w.group().islower() and len(w.group()) > 1 and w.group() not in SMALL:
+                runs.append([])
+            else:
+                runs[-1].append(w)
+        good = next((r for r in runs if sum(w.group()[0].isupper() for w in r) > 1), None)
+        if good and len(runs) > 1:
+            a, b = good[0].start(), min(b, good[-1].end() + (text[good[-1].end() : good[-1].end() + 1] == "." and len(good[-1].group()) == 1))
+            words = good
+        first = words[0].group()
+        if len(capital) > 2 and VERB.search(first) and fold(first) not in COMMON_GIVEN and words[1].group()[0].isupper():
+            a = words[1].start()
+    street = next((m for m in re.finditer(r",\s*", text[a:b]) if STREET.match(text, a + m.end())), None)
+    return a, a + street.start() if street else b
+
+
 def checked(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
     """The exact place of an item that the model marked at text[a:b], or None if it can't be one."""
     if kind in ("cpf", "pis"):
@@ -127,10 +171,11 @@ def checked(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
     m = TITLE.match(text, a)
     if m and m.end() < b:
         a = m.end()
+    a, b = trimmed(text, a, b)
     words = [(w.start(), w.group()) for w in WORDS.finditer(text, a, b)]
-    while words and words[0][1] in _NOT_FIRST:
+    while words and (words[0][1] in _NOT_FIRST or len(words[0][1]) > 1 and words[0][1].lower() in _NOT_FIRST):
         words.pop(0)
-    if len(words) < 2 or not any(len(w) > 2 for _, w in words) or kind_of(fold(words[0][1])):
+    if len(words) < 2 or not any(len(w) > 2 for _, w in words) or kind_of(fold(words[0][1])) or fold(words[0][1]) in PLACE_WORDS:
         return None
     if text[a:b].islower() and not any(fold(w) in COMMON_GIVEN for _, w in words) and len(words[0][1]) > 1:
         return None  # small letters throughout and no given name: ordinary words
@@ -151,13 +196,15 @@ def items(texts: list[str | None], m: Model) -> list[list[tuple[int, int, str]]]
             last = -1
             for label, a, b in zip(named[heads].tolist(), starts[marked[heads]].tolist(), ends[marked[tails]].tolist()):
                 kind = LABELS[label]
-                if kind == "name" and ROAD.match(text, a) and NUMBER.search(text, a, min(len(text), b + 10)):
-                    kind = "address"  # a street named after a person, short form included
+                if kind == "name" and (ROAD.match(text, a) or STREET.match(text, a)) and (number := NUMBER.search(text, a, min(len(text), b + 10))):
+                    kind, b = "address", max(b, number.end())  # a street named after a person, short form included
+                elif kind == "name" and (road := STREET_LEAD.search(text, max(0, a - 50), a)) and NUMBER.match(text, b) and road.start() > last:
+                    kind, a = "address", road.start()
                 elif kind == "name":
                     before = text[max(0, a - 30) : a]
                     word = before.split()[-1] if not before.isspace() and before else ""
                     bare = word.rstrip(".").lower()
-                    if bare in HONOURS and BUILDING.search(before):
+                    if bare in HONOURS and BUILDING.search(before) or bare in SEAT_ENDS and SEAT.search(text[max(0, a - 60) : a]):
                         continue
                     if bare in ROADS and (road := STREET_BEFORE.search(before)) and NUMBER.search(text, a, min(len(text), b + 10)):
                         kind, a = "address", a - len(before) + road.start()
@@ -165,6 +212,8 @@ def items(texts: list[str | None], m: Model) -> list[list[tuple[int, int, str]]]
                         a = at  # a given name that the model left outside
                 if kind in ("cpf", "pis", "rg") and (label := LABEL.search(text, max(0, a - 24), a)):
                     kind = LABELLED[label.group(1).lower()]
+                if kind in ("rg", "pis") and (place := SHAPED.search(text, max(0, a - 3), min(len(text), b + 12))) and place.start() < b and not (place.start() and text[place.start() - 1].isalnum()):
+                    kind = "cpf"  # only a tax number is written so
                 place = checked(kind, text, a, b)
                 if place and place[0] > last:
                     found.append((*place, kind))
@@ -180,7 +229,7 @@ def _held(df: DataFrame, rows: int, seed: int):
     return df.sparkSession.sparkContext.broadcast(m)
 
 
-def find_items(df: DataFrame, key: str, text: str, table_name: str, rows: int = 2000, seed: int = 11) -> DataFrame:
+def find_items(df: DataFrame, key: str, text: str, table_name: str, rows: int = 2400, seed: int = 11) -> DataFrame:
     """(table_name, row_id, kind, start_pos) of every item in `df[text]`; a map, without a shuffle."""
     held = _held(df, rows, seed)
 
@@ -195,7 +244,7 @@ def find_items(df: DataFrame, key: str, text: str, table_name: str, rows: int =
     return df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).where("t is not null").mapInPandas(run, "table_name string, row_id long, kind string, start_pos int")
 
 
-def redact(df: DataFrame, text: str = "text", rows: int = 2000, seed: int = 11) -> DataFrame:
+def redact(df: DataFrame, text: str = "text", rows: int = 2400, seed: int = 11) -> DataFrame:
     """`df` with `redacted`: the text with a typed placeholder in place of every item, otherwise unchanged."""
     held = _held(df, rows, seed)
     kept = without(df, "redacted")

@@ -9,6 +9,7 @@ else is text. The same seed gives the same table.
 from __future__ import annotations
 
 import random
+import re
 
 KINDS = ("name", "cpf", "rg", "pis", "email", "phone", "address")
 GIVEN = (
@@ -24,12 +25,19 @@ STREET_WORDS = frozenset("rua avenida av qd q travessa trav tv praça praca pça
 TITLES = frozenset("sr sra dr dra srta prof profa dona des exmo exma ilmo".split())
 PARTICLES = frozenset("de da do das dos e".split())
 MONTHS = "janeiro fevereiro março abril maio junho julho agosto setembro outubro novembro dezembro".split()
-TRADES = "Contador,Médico Psiquiatra,Engenheiro Civil,Psicólogo,Assistente Social,Grafotécnico,Economista,Atuário,Biólogo,Arquiteto e Urbanista,Corretor de Imóveis,Médico do Trabalho,Intérprete de Libras,Analista de Sistemas,Engenheiro de Minas,Leiloeiro,Nutricionista,Químico,Historiador da Arte,Cirurgião-Dentista,"
-TRADES = (TRADES + "Médico Ortopedista,Médico Neurologista,Médico Oftalmologista,Médico Clínico Geral,Médico Legista,Médico Pediatra,Fisioterapeuta,Enfermeiro,Fonoaudiólogo,Terapeuta Ocupacional,Documentoscopista,Papiloscopista,Engenheiro Eletricista,Engenheiro Mecânico,Engenheiro Agrônomo,Engenheiro Ambiental,Engenheiro Químico,Engenheiro de Segurança do Trabalho,Engenheiro Cartógrafo,Agrimensor,Avaliador de Máquinas,Administrador,Tradutor e Intérprete,Médico Veterinário,Geólogo,Farmacêutico,Médico Dermatologista").split(",")
+TRADES = (
+    "Contador,Engenheiro,Arquiteto,Médico,Psicóloga,Enfermeiro,Economista,Bióloga,Químico,Tradutora,Dentista,Fisioterapeuta,Administrador,Agrônomo,Geóloga,Professor,Motorista,Eletricista,Corretor,Veterinária,"
+    "Assistente Social,Médico do Trabalho,Engenheira Civil,Engenheiro de Minas,Técnico em Contabilidade,Analista de Sistemas,Terapeuta Ocupacional,Perito Contábil,Especialista em Redes,Cirurgião e Clínico"
+).split(",")
 FIRMS = "Construtora,Seguradora,Banco,Viação,Supermercados,Financeira,Cooperativa Agrícola,Hospital e Maternidade,Distribuidora de Energia,Companhia de Águas,Instituto de Previdência do Vale de,Fundo Estadual de Saúde de,Departamento de Estradas de,Agência de Defesa Rural de,Autarquia de Trânsito Municipal de,Superintendência de Obras Públicas de".split(",")
-PLACES = "Brejo,Campo,Lagoa,Vila,Monte,Barra,Várzea,Pedra,Poço,Riacho,Santo Antão,Nossa Senhora,Serra,Porto,São Belmiro".split(",")
-PLACE_ENDS = "da Cutia,da Garoa,do Sanharó Novo,do Mandacaru Velho,do Umbual,do Timbó,das Taipas,dos Oitis,das Juremas,do Calumbi,do Facheiro,da Macambira,do Ipê,da Serra".split(",")
-HOSTS = "correio,mensagem,postal,laudos,pericias,juremas,caixa-azul,escritorio.umbual,exemplo,dominio,mail".split(",")
+PLACES = "Campo,Lagoa,Vila,Monte,Barra,Pedra,Serra,Porto,Santo,Santa,São,Nova,Rio,Ribeirão,Alto,Ponta,Ilha,Nossa Senhora".split(",")
+PLACE_ENDS = "Grande,Novo,Velho,Verde,Alegre,da Serra,do Norte,do Sul,das Flores,dos Montes".split(",")
+#: Given and family names from elsewhere, as they turn up in Brazilian papers.
+ABROAD = "Kauê Wesley Yuri Ingrid Yasmin Wanda Karen Ryan Thaís Wilson Jeferson Kelly Igor Nayara Uilson Ayrton Hugo Erika Washington Enzo Ketlin Walter Suely Jussara Iracema Tainá Ubirajara Gisele Peri".split()
+FAMILY = "Silva Souza Santos Oliveira Pereira Lima Costa Rocha Azevedo Teixeira Cardoso Schmidt Weber Müller Kowalski Nowak Tanaka Yamada Suzuki Rossi Bianchi Ferrari Haddad Khoury Nakamura Becker Wagner Krüger Zanetti Watanabe".split()
+_FOREIGN = "kow nak bran wey schu yam hof zan koz wit gru ryb kra tak sch mor rud wal yos kim".split()
+_FOREIGN_END = "ski mura berg mann kawa ner wicz sen stein elli otto ini son yama czyk ler".split()
+STREET_NAMES = "das Flores,do Comércio,Sete de Setembro,Quinze de Novembro,da Matriz,Principal,Beira Rio,Central,das Palmeiras,da Estação,São José,Santa Rita,Projetada,Sem Saída,da Ponte,do Alto".split(",")
 ENDS = "example,invalid,test,com.br,org".split(",")
 _ON = "Bar Cal Dor Fel Gal Jan Lim Mar Nor Pal Quin Ral Sil Tor Val Zam Bor Cre Dra Fro Gri Lor Mel Nar Per Pla Sar Tal Tre Vil Ver Bel Cor Far Gor Jam Lam Mun Tri Zan".split()
 _MID = "a e i o be ca da fe ga ji la me na pe qui ra si ta ve zu lis ran ten vol bi do fa gui lo mi pi ro su ti va xi ze bam con dun fur".split()
@@ -93,13 +101,46 @@ FRAMES = (
     "Ciente o servidor {name}, matrícula {nnnnn}.",
     "Inscrito no PIS sob o nº {pis} e no CPF sob o nº {cpf}, {t}{name} declarou {fato} o relato de {place}.",
 )
+FRAMES += (
+    "PODER JUDICIÁRIO DO ESTADO DE {STATE}\n{court}\n{address} - {place}/ZZ - Fone: {phone}",
+    "{court}\n{address} - {place}/ZZ - Fone: {phone}",
+    "{Anexou} aos autos o laudo de {trade} com {n} páginas, protocolo {proto}, {subscrito} por {t}{name} em {date}.",
+    "{Anexou} a petição de protocolo {proto}, {subscrito} por {t}{name} em {date}.",
+    "{Dados} para {pagamento}: favorecido {name}; CPF {cpf}; RG {rg}; endereço {address}; telefone {phone}.",
+)
+#: Frames of other papers: notes, letters, forms, messages.
+OTHER_FRAMES = (
+    "{Past} {t}{name}, {trade}, {reside} na {address}, {phone}.",
+    "{Past} em {date} {t}{name} e {name}.",
+    "{Ola}, {falo} com {name}? {Ligue} para {phone} ou {escreva} para {email}.",
+    "{Who}: {name}, {years} anos. CPF: {cpf}. RG: {rg}.",
+    "{Who}: {name}\nEndereço: {address}\nTelefone: {phone}\nE-mail: {email}",
+    "{Enviar} para {name}, {address}, {place}.",
+    "{Bom}, {name}! Segue {docum} nº {nnnn} de {date}, qualquer dúvida {phone}.",
+    "{Who} {name} ({trade}), tel. {phone}, {reside} em {place}.",
+    "Na reunião de {date}, {name} {disse} que {firm} {word2} o valor de {money}.",
+    "{name} {past} {docum} a {name} por {money}.",
+    "Segundo {t}{name}, {trade} de {firm}, o prazo {word2} em {date}.",
+    "O sr. {name} e a sra. {name} {word2} na {address} desde {year}.",
+    "Atenciosamente,\n{name}\n{trade}",
+    "{Who}: {name} - PIS {pis} - {phone}",
+    "A {firm}, com sede na {address}, {word2} {docum} de {name}.",
+    "A {place} {word2} {n} {words} e {word2} {words} em {date}, segundo {firm}.",
+    "{Enviar} {docum} ao {building2} até {date}, sala {nnn}, {word2} {words}.",
+    "{Past} {words} de {place} em {date}: {n} {words}, {money}.",
+    "Entregar na {address}, aos cuidados de {name}, fone {phone}.",
+    "Responsável: {name} | {email} | {phone}",
+)
 #: What stands alone in a tax-number field.
 VALUES = (
     "{cpf}", "{cpf}", "{cpf}", "{cpf}", "{cpf}", "{cpf}", "{cpf}", "CPF nº {cpf}", "cpf {cpf}", "CPF: {cpf}", "C.P.F. {cpf}", "{cpf} (conforme cadastro)", "{cpf}, RG a apresentar", "{cpf}\n\nTrata", "NIT: {pis}", "PIS {pis}", "PIS/NIT {pis}",
-    "{cnpj}", "{cnpj}", "***.{nnn}.{nnn}-**", "***.{nnn}.{nnn}-**", "{proc}", "não localizado", "n/d", "N/A", "Banco {nnn} ag. {nnnn}", "vide fls. {nnn}", "vide fls. {n}", "matrícula {nnnnn}", "{email}", "{email}", "{phone}", "{phone}", "RG {rg}",
+    "{cnpj}", "{cnpj}", "***.{nnn}.{nnn}-**", "***.{nnn}.{nnn}-**", "{proc}", "não localizado", "n/d", "N/A", "Banco {nnn} ag. {nnnn}", "vide fls. {nnn}", "vide fls. {n}", "matrícula {nnnnn}", "{email}", "{email}", "{email}", "{phone}", "{phone}", "RG {rg}",
     "{name}", "{address}", "conta {nnnnn}-{d}", "protocolo {proto}", "OAB/ZZ {nn}.{nnn}",
 )
 PLAIN = {
+    "Past": "Compareceu|Chegou|Assinou|Recebi|Falei com|Atendi|Visitei|Faleceu|Chamou|Entrou|Foi ouvida|Veio", "past": "vendeu|entregou|mostrou|pediu|cedeu", "Ola": "Olá|Oi|Boa tarde|Prezados", "falo": "falo|estou falando|posso falar", "Ligue": "Ligue|Telefone|Retorne",
+    "escreva": "escreva|mande", "Who": "Paciente|Cliente|Aluna|Contato|Nome|Titular|Segurado|Comprador|Locatária|Remetente|Destinatário|Médica|Sócio", "Enviar": "Enviar|Entregar|Mandar|Remeter|Encaminhar", "Bom": "Bom dia|Boa tarde|Cara|Caro",
+    "building2": "Hospital {building}|Colégio {building}|Edifício {building}|Posto {word}|Ginásio {word}",
     "Filiacao": "Filiação|Genitores|Pais", "aceitou": "aceitou o encargo|assumiu a função|firmou compromisso", "indicou": "indicou|forneceu|registrou", "avisos": "avisos|intimações|ciência|contato|recado|retorno", "disse": "disse|afirmou|contou|declarou|respondeu",
     "reside": "reside|mora|vive|recebe correspondência|pode ser encontrada", "trabalha": "trabalha em|é vizinha de|presta serviço a", "pediu": "pediu vista|requereu cópia|solicitou cópia|pediu carga|pediu cópia|requereu vista", "segundo": "segundo|conforme|observada",
     "apresentou": "apresentou-se|compareceu|habilitou-se", "morada": "com morada|residente|domiciliada", "acto": "comparecer ao exame|acompanhar a vistoria|retirar o alvará|prestar depoimento", "tail": "|, com ressalva de sala acessível em {word}|, dada a falta de quórum em {word}|, à espera de laudo complementar em {word}|, pendente resposta do cartório em {word}|, sem prejuízo de transporte do periciando em {word}|, observado o tema assinatura válida em {word}",
@@ -130,11 +171,34 @@ class Table:
     def word(self) -> str:
         return self.pick(_ON) + self.pick(_MID) + self.pick(_OFF)
 
+    def surname(self) -> str:
+        x = self.r.random()
+        return self.word() if x < 0.8 else self.pick(FAMILY) if x < 0.92 else (self.pick(_FOREIGN) + self.pick(_FOREIGN_END)).capitalize()
+
+    def given(self) -> str:
+        x = self.r.random()
+        return self.pick(GIVEN) if x < 0.88 else self.pick(ABROAD) if x < 0.95 else self.pick(_ON) + self.pick("ela ane iel ino ilda aldo ana eth son ton ia ete".split())
+
+    def small(self) -> str:
+        """A word of no meaning in small letters."""
+        return (self.pick(_ON) + self.pick(_MID) + self.pick("ar er ir a o e as os ou eu ia ava mente cao ndo".split())).lower()
+
+    def trade(self) -> str:
+        """A trade, now and then one made up: who does it, and of what."""
+        if self.r.random() < 0.75:
+            return self.pick(TRADES)
+        of = self.pick(_ON) + self.pick(_MID) + self.pick("ia ica ura gem s cao dade or ista".split())
+        return f"{self.pick('Técnico Perito Analista Especialista Engenheiro Tradutor Historiador Intérprete Avaliador Mestre Instrutor Corretor'.split())} {self.pick(['de', 'da', 'em', 'e', 'do', ''])} {of}".replace("  ", " ")
+
+    def loosened(self, frame: str) -> str:
+        """A frame with a word here and there replaced by one of no meaning, so that the model doesn't lean on single words."""
+        return re.sub(r"(?<![{\w])[a-záéíóúâêôãõç]{4,}(?![\w}])", lambda m: self.small() if self.r.random() < 0.1 else m.group(), frame)
+
     def name(self) -> str:
-        given = [self.pick(GIVEN)] + ([self.pick(GIVEN)] if self.r.random() < 0.3 else [])
-        mid = [self.pick(_ON) + self.pick(_MID) + self.pick(_OFF_MID)] if self.r.random() < 0.72 else []
+        given = [self.given()] + ([self.given()] if self.r.random() < 0.3 else [])
+        mid = [self.pick(_ON) + self.pick(_MID) + self.pick(_OFF_MID) if self.r.random() < 0.85 else self.surname()] if self.r.random() < 0.72 else []
         particle = [self.pick(["de", "da", "do", "dos", "das"])] if self.r.random() < 0.4 else []
-        last = [self.word()]
+        last = [self.surname()]
         suffix = [self.pick(["Filho", "Júnior", "Neto", "Jr."])] if self.r.random() < 0.08 else []
         x = self.r.random()
         if x < 0.12:
@@ -182,16 +246,16 @@ class Table:
 
     def phone(self) -> str:
         a, m, f = self.digits(2), "9" + self.digits(4), self.digits(4)
-        p = "1" + self.digits(3)
-        return self.pick([f"({a}) {m}-{f}", f"({a}){p}-{f}", f"0{a} {p} {f}", f"{a} {m}.{f}", f"+55 {a} {m} {f}", f"( {a} ) 9 {m[1:]} - {f}", f"{a}{m}{f}", f"{a}{m}{f}", f"{m}-{f}", f"({a}) {p}-{f}", f"{a} {m}-{f}"])
+        p = self.pick("11123456789") + self.digits(3)
+        return self.pick([f"({a}) {m}-{f}", f"({a}){p}-{f}", f"0{a} {p} {f}", f"{a} {m}.{f}", f"+55 {a} {m} {f}", f"( {a} ) 9 {m[1:]} - {f}", f"{a}{m}{f}", f"{a}{m}{f}", f"{m}-{f}", f"({a}) {p}-{f}", f"{a} {m}-{f}", f"{a} {p}-{f}"])
 
     def email(self) -> str:
         g, w = self.pick(GIVEN).lower(), self.word().lower()
         for x, y in zip("áàâãéêíóôõúç", "aaaaeeiooouc"):
             g, w = g.replace(x, y), w.replace(x, y)
         user = self.pick([f"{g}.{w}", f"{g}{self.digits(2)}", f"{g[0]}{w}", f"{w}_{g}", f"{g}-{w}", f"{w}.pericias", f"{w}.{g}"])
-        host, end = self.pick(HOSTS), self.pick(ENDS)
-        out = self.pick([f"{user}@{host}.{end}"] * 7 + [f"{user}(at){host}.{end}", f"{user} [arroba] {host}.{end}", f"{user} arroba {host} ponto {end}", f"{user} @ {host}.{end}", f"{user}@ {host} . {end}"])
+        host, end = self.pick(["correio", "mail", "exemplo", "laudos", self.word().lower(), f"{self.word().lower()}-{self.word().lower()}", f"mail.{self.word().lower()}"]), self.pick(ENDS)
+        out = self.pick([f"{user}@{host}.{end}"] * 7 + [f"{user}(at){host}.{end}", f"{user} [arroba] {host}.{end}", f"{user} arroba {host} ponto {end}", f"{user} arroba {host} ponto {end}", f"{user} @ {host}.{end}", f"{user}@ {host} . {end}"])
         return out.upper() if self.r.random() < 0.07 else out
 
     def address(self) -> str:
@@ -200,7 +264,7 @@ class Table:
         if x < 0.2:
             return f"{self.pick('Beco Sítio Loteamento Conjunto Condomínio Quadra Fazenda Vila Qd. Cond. Conj. Lot.'.split())} {self.digits(2)} Lt. {self.digits(2)}, nº {self.digits(4)}"
         title = self.pick(["Padre", "Coronel", "Conselheiro", "Dona " + self.pick(GIVEN), "Dona " + self.word(), "Doutor", "Barão de", "", "", ""])
-        body = self.pick(["das Acácias Bravas", "dos Tamarindos", "do Mirante", "da Olaria Velha", "Projetada", "Sem Saída", "Vinte e Nove de Brumário", "do Facheiral", "da Ponte Caída", "das Rendeiras do Vale", f"{title} {self.word()}".strip(), f"{title} {self.word()}".strip(), f"da {self.word()}", f"{self.word()} Norte", f"{self.word()} Velho", f"dos {self.word()}s", f"{title} {self.word()} I".strip(), "do Facheiral II", f"do {self.word()} do Alto"])
+        body = self.pick([self.pick(STREET_NAMES), self.pick(STREET_NAMES), self.pick(FAMILY), f"dos {self.small()}s".title().replace("Dos", "dos"), f"das {self.word()}s {self.word()}s", f"{self.word()} e {self.word()} de {self.pick(MONTHS).title()}", f"{title} {self.word()}".strip(), f"{title} {self.word()}".strip(), f"da {self.word()}", f"{self.word()} Norte", f"{self.word()} Velho", f"dos {self.word()}s", f"{title} {self.word()} I".strip(), f"do {self.word()} II", f"do {self.word()} do Alto"])
         number = self.pick([", {n}", " {n}", ", nº {n}", ", n. {n}", ", n.º {n}, apto {m}", ", {n}, bloco B", ", s/n", ", km {k}", ", n.º {n}", ", {n}, apto {m}", ", casa {k}", ", quadra {k}, lote {k}", ", casa {k}"]).format(n=self.digits(self.pick([2, 3, 4])), m=self.digits(3), k=self.digits(2))
         return f"{kind} {body}{number}"
 
@@ -209,14 +273,14 @@ class Table:
         if slot in PLAIN:
             return self.pick(PLAIN[slot].split("|"))
         date = self.pick([f"{n(2)}/{n(2)}/20{n(2)}", f"{self.r.randrange(1, 29)} de {self.pick(MONTHS)} de 20{n(2)}", f"{n(2)}.{n(2)}.{n(2)}"])
-        place = f"{self.pick(PLACES)} {self.pick(PLACE_ENDS)}"
+        place = f"{self.pick(PLACES)} {self.pick([self.pick(PLACE_ENDS), self.word(), 'd' + self.pick(['a', 'o', 'as', 'os']) + ' ' + self.word(), 'do ' + self.word() + self.pick([' Velho', ' Novo'])])}"
         court = f"{n(1)}ª {self.pick(['Vara Cível', 'Vara da Fazenda', 'Vara Mista', 'Secretaria', 'Câmara'])} de {place} {self.word()}"
         firm = f"{self.pick(FIRMS)} {self.word()}{self.pick([' Ltda.', ' S.A.', '', ' S/A'])}"
         return {
-            "t": self.pick(["", "", "", "", "", "Sr. ", "Sra. ", "Dr. ", "Dra. ", "o Sr. ", "a Sra. "]), "trade": self.pick(TRADES), "date": date, "place": place, "court": court if self.r.random() < 0.8 else f"{n(1)}ª Vara ({self.word()})", "COURT": court.upper(), "firm": firm,
+            "t": self.pick(["", "", "", "", "", "Sr. ", "Sra. ", "Dr. ", "Dra. ", "o Sr. ", "a Sra. "]), "trade": self.trade(), "date": date, "place": place, "court": court if self.r.random() < 0.8 else f"{n(1)}ª Vara ({self.word()})", "COURT": court.upper(), "firm": firm,
             "n": str(self.r.randrange(1, 60)), "d": n(1), "nn": n(2), "nnn": n(3), "nnnn": n(4), "nnnnn": n(5), "year": "20" + n(2), "hour": f"{self.r.randrange(24)}h{n(2)}", "money": f"R$ {n(3)},{n(2)}" if self.r.random() < 0.7 else f"R$ {n(1)}.{n(3)},{n(2)}",
             "proc": f"{n(7)}-{n(2)}.20{n(2)}.8.98.{n(4)}", "padm": f"20{n(2)}.{n(2)}.{n(7)}", "cnpj": f"{n(2)}.{n(3)}.{n(3)}/000{n(1)}-{n(2)}", "proto": self.pick([n(11), f"{n(9)}-{n(1)}"]), "hex": "".join(self.pick("0123456789ABCDEF") for _ in range(8)),
-            "word": self.word(), "low": self.word().lower(), "STATE": self.word().upper(), "building": f"{self.pick(GIVEN)} {self.word()}",
+            "word": self.word(), "word2": self.small(), "words": f"{self.small()} {self.small()}", "years": n(2), "low": self.word().lower(), "STATE": self.word().upper(), "building": f"{self.pick(GIVEN)} {self.word()}",
         }[slot]
 
     def fill(self, frame: str, spans: list, at: int) -> str:
@@ -253,7 +317,7 @@ class Table:
         for _ in range(self.r.randrange(2, 5)):
             if text:
                 text += self.pick([" ", "\n", "\n", "\n\n"])
-            new = self.fill(self.pick(FRAMES), spans, len(text))
+            new = self.fill(self.loosened(self.pick(FRAMES if self.r.random() < 0.85 else OTHER_FRAMES)), spans, len(text))
             text += new.upper() if self.r.random() < 0.05 and len(new.upper()) == len(new) else new
         width = self.pick([0, 60, 80, 100])
         if width:
@@ -267,7 +331,7 @@ class Table:
         return text, spans
 
 
-def labelled(rows: int = 2000, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def labelled(rows: int = 2400, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """The table: texts with the places and kinds of their items."""
     table = Table(seed)
     return [table.row() for _ in range(rows)]

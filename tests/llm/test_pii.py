@@ -1,7 +1,13 @@
 """Personal data: held-out accuracy, exact places, odd inputs, redaction."""
 
+import os
+import sys
+
 from helpers import rows
 
+sys.path.insert(0, os.path.dirname(__file__))
+import unseen
+
 from folhario.llm import pii, pii_table
 from folhario.llm.crf import tokenise, tokenise_batch
 
@@ -16,6 +22,33 @@ def test_held_out_accuracy():
     assert hit / sum(map(len, have)) > 0.96
 
 
+def test_sentences_of_other_kinds_and_names_of_other_stocks():
+    held = unseen.rows(600)
+    got = [{(a, k) for a, _, k in g} for g in pii.items([t for t, _ in held], pii.model())]
+    hit = sum(len(w & h) for (_, w), h in zip(held, got))
+    assert hit / sum(len(w) for _, w in held) > 0.85
+    assert hit / sum(map(len, got)) > 0.9
+
+
+def test_names_end_where_they_end():
+    for text, names in (
+        ("Compareceu Wanderley Kowalczyk Brandenburg, morador da Alameda Santos 45, tel. 21 2555-1234.", ["Wanderley Kowalczyk Brandenburg"]),
+        ("Paciente: Ingrid Schneider, 45 anos, CPF 123.456.789-00.", ["Ingrid Schneider"]),
+        ("Intime-se Maria de Souza Andrade Filho, com morada na Rua Sete, 10.", ["Maria de Souza Andrade Filho"]),
+    ):
+        found = pii.items([text], pii.model())[0]
+        assert [text[a:b] for a, b, k in found if k == "name"] == names, text
+    assert pii.trimmed("Enviar para Yasmin Rocha Azevedo, Alameda", 0, 41) == (12, 32)
+    assert pii.trimmed("Olá, falo com Kauê Nakamura? Ligue", 0, 34) == (14, 27)
+    assert pii.trimmed("SOUZA, Ana Maria", 0, 16) == (0, 16)
+
+
+def test_long_addresses_of_mail():
+    text = f"Contato: {'a' * 150}.silva@{'x' * 90}.exemplo.invalid, fim"
+    at = text.index("a" * 150)
+    assert pii.checked("email", text, text.index("@") - 3, text.index("@") + 4) == (at, text.index(", fim"))
+
+
 def test_tokens_partition_a_text():
     text = "  Dr. Á2b\n\n x-9\t."
     tokens, starts, before = tokenise(text)
