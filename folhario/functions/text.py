@@ -174,3 +174,46 @@ def first_position(c: Column, wanted: list[str]) -> Column:
 def highlight(c: Column, word: str) -> Column:
     """Whole words put between double underscores, whatever their case."""
     return F.regexp_replace(c, rf"(?iu)(?<![\p{{L}}\p{{N}}_])({word})(?![\p{{L}}\p{{N}}_])", "__$1__")
+
+
+def despaced(c: Column) -> Column:
+    """A line set in single letters with blanks between, closed up; any other as it is."""
+    tokens = F.filter(F.split(c, " "), lambda x: x != "")
+    single = F.size(F.filter(tokens, lambda x: F.length(x) == 1))
+    return F.when(single / F.nullif(F.size(tokens), F.lit(0)) > 0.5, F.regexp_replace(c, r"[ \t\n\r\f]+", "")).otherwise(c)
+
+
+def compact_footer(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, r"[ \t\n\r\f]+", " "))
+
+
+def plain_title(c: Column) -> Column:
+    """A bookmark's title without underscores, codes in brackets at its end, a number before it or a system's mark after it."""
+    t = F.trim(F.regexp_replace(F.replace(c, F.lit("_"), F.lit(" ")), r"[ \t\n\r\f]+", " "))
+    t = F.trim(F.regexp_replace(t, r"\([0-9A-Za-z]{4,}\)$", ""))
+    t = F.regexp_replace(F.regexp_replace(t, r"^\d+ *- *", ""), r"(?i) *- *SEI.*$", "")
+    return F.trim(t)
+
+
+def title_case(c: Column) -> Column:
+    return F.initcap(F.lower(F.trim(F.regexp_replace(c, r"[ \t\n\r\f]+", " "))))
+
+
+def cut_at(c: Column, words: list[str]) -> Column:
+    """A value up to the first of some words, whatever their case, and without the marks before it; from its start on it stays whole."""
+    low = F.lower(c)
+    at = F.array_min(F.filter(F.array(*[F.instr(low, F.lit(w.lower())) for w in words]), lambda i: i > 0))
+    return F.trim(F.regexp_replace(F.trim(F.when(at > 1, F.substring(c, F.lit(1), at - 1)).otherwise(c)), "[,;.–-]+$", ""))
+
+
+def chunks(c: Column, size: int = 120) -> Column:
+    """A text in pieces of `size` characters."""
+    n = F.ceil(F.length(c) / size).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.substring(c, i * size + 1, F.lit(size))))
+
+
+def close_after_cleaning(a: Column, b: Column) -> Column:
+    """1 less the edits between two cleaned texts, in parts of the longer one's length."""
+    x, y = for_match(a), for_match(b)
+    most = F.greatest(F.length(x), F.length(y))
+    return F.when(most > 0, 1 - F.levenshtein(x, y) / most).otherwise(F.lit(1.0))

@@ -50,7 +50,7 @@ STRATEGIES = (
     Strategy("adiantamento", rf"adiantamento[^.]{{0,60}}r\$ ({MONEY})", "regex", 0.65, "adiantamento"), Strategy("percentual", r"(?:^|[^\d,])(\d{1,2}%)", "regex", 0.6, "%"), Strategy("parcela", r"(\d+ª parcela|primeira parcela|segunda parcela|terceira parcela)", "regex", 0.6, "parcela"),
     Strategy("data", rf"assinado eletronicamente por [^,]{{3,60}}, em ({DATE})", "signature", 0.75, "assinado"), Strategy("data", rf"em ({DATE})", "tail", 0.6, " em ", scope="tail"),
     Strategy("assinante", r"assinado eletronicamente por ([^,]{5,60}), em", "footer", 0.9, "assinado", clean="person", check="person"), Strategy("assinante", r"(?:subscrito|assinado|firmado) por ([^,.]{5,60}?) em ", "body", 0.6, " por ", clean="person", check="person"),
-    Strategy("num_perito", r"(?:matrícula|cadastro|número do perito)[ :-]*(\d{3,})", "regex", 0.55), Strategy("num_perito", r"pis[^\d.]{0,12}(\d{3}\.?\d{5}\.?\d{2}-?\d)", "regex", 0.5, "pis"),
+    *(Strategy("num_perito", rf"{w}[ :-]*(\d{{3,}})", "regex", 0.55, w) for w in ("matrícula", "cadastro", "número do perito")), Strategy("num_perito", r"pis[^\d.]{0,12}(\d{3}\.?\d{5}\.?\d{2}-?\d)", "regex", 0.5, "pis"),
 )
 #: Words by which an institution gives itself away where a party's name is expected (fixed values).
 INSTITUTIONS = ("juizo", "vara", "comarca", "tribunal", "diretoria", "poder judiciario", "secretaria", "cartorio")
@@ -83,6 +83,11 @@ def tail(c: Column, share: float = 0.7) -> Column:
     return F.substring(c, F.floor(F.length(c) * share).cast("int") + 1, F.length(c))
 
 
+def _flagged(pattern: str) -> str:
+    """A pattern without regard to case, where it has letters at all: without the flag the search is much faster."""
+    return f"(?iu){pattern}" if re.search(r"[^\W\d_]", re.sub(r"\\[a-zA-Z]", "", pattern)) else pattern
+
+
 def candidates(pages: DataFrame, strategies: Iterable[Strategy] = STRATEGIES, text: str = "text") -> DataFrame:
     """(doc, page, field, stage, value, method, confidence): what each strategy finds on each page, in one pass.
 
@@ -94,7 +99,7 @@ def candidates(pages: DataFrame, strategies: Iterable[Strategy] = STRATEGIES, te
     entries = []
     for s in strategies:
         stage[s.field] = stage.get(s.field, -1) + 1
-        raw = F.regexp_extract(F.col("_end") if s.scope == "tail" else F.col("_t"), f"(?iu){s.pattern}", s.group)
+        raw = F.regexp_extract(F.col("_end") if s.scope == "tail" else F.col("_t"), _flagged(s.pattern), s.group)
         raw = F.when(F.contains("_low", F.lit(s.hint)), raw).otherwise("") if s.hint else raw
         entries.append(F.struct(*[F.lit(v).alias(k) for k, v in (("field", s.field), ("stage", stage[s.field]), ("method", s.method), ("confidence", s.confidence), ("clean", s.clean), ("check", s.check))], raw.alias("raw")))
     flat = pages.select("doc", "page", F.regexp_replace(text, r"[ \t\n\r\f]+", " ").alias("_t")).select("*", F.lower("_t").alias("_low"), tail(F.col("_t")).alias("_end"))

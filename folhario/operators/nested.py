@@ -242,3 +242,45 @@ def sections(df: DataFrame, key: str = "process_number", text: str = "raw_json")
 def node_table(flat: DataFrame, kind: str) -> DataFrame:
     """The flat table of one kind."""
     return flat.where(F.col("kind") == kind).drop("kind")
+
+
+PAGE_SCHEMA = "key string, page int, width double, height double, rotation int, words long, text string, fonts array<string>, images array<struct<width:long,height:long>>, annotations int"
+
+
+def page_rows(df: DataFrame, key: str = "process_number", text: str = "raw_json") -> DataFrame:
+    """One row a page of every record: its place in the list from 1, size, rotation, words, text, fonts, image sizes, annotations."""
+
+    def at(part, *names):
+        for name in names:
+            part = parse(part)
+            part = part[0] if isinstance(part, list) and part else part
+            part = next((v for k, v in part.items() if _norm(str(k)) == name), None) if isinstance(part, dict) else None
+        return part
+
+    def many(part) -> list:
+        part = parse(part)
+        return [x for x in (part if isinstance(part, list) else [part]) if isinstance(x, dict)]
+
+    def number(v, kind):
+        try:
+            return None if isinstance(v, bool) else kind(v)
+        except (TypeError, ValueError):
+            return None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for k, t in zip(batch["key"], batch["text"]):
+                pages = parse(at(analysis(t), "pages")) if analysis(t) else None
+                for i, p in enumerate(pages if isinstance(pages, list) else [pages], 1):
+                    if not isinstance(p, dict):
+                        continue
+                    pics = [{"width": number(at(x, "width"), int), "height": number(at(x, "height"), int)} for x in many(at(p, "resources", "images"))]
+                    rows.append((
+                        k, i, number(at(p, "size", "width"), float), number(at(p, "size", "height"), float), number(at(p, "rotation"), int), number(at(p, "textinfo", "wordcount"), int), at(p, "textinfo", "pagetext"),
+                        [n for x in many(at(p, "textinfo", "fonts")) if isinstance(n := at(x, "name"), str)], pics, len(many(at(p, "annotations"))),
+                    ))
+            frame = pd.DataFrame(rows, columns=["key", "page", "width", "height", "rotation", "words", "text", "fonts", "images", "annotations"])
+            yield frame.astype({"rotation": "Int32", "words": "Int64"})
+
+    return df.select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text")).mapInPandas(run, PAGE_SCHEMA)

@@ -143,3 +143,34 @@ def objects(dump: DataFrame, kind: str | None = None, number: Span | None = None
     if stream is not None:
         keep = keep & ((F.col("size") > 0) == stream)
     return dump.where(keep)
+
+
+def pages(df: DataFrame, words: str | None = None, not_words: str | None = None, regex: str | None = None, pages: Span | None = None, word_count: Span | None = None, has_images: bool | None = None, money: bool | None = None, blank: bool | None = None, fonts_any: Sequence[str] = (), fonts_all: Sequence[str] = ()) -> DataFrame:
+    """Pages of the corpus by terms, pattern, place, words, images, amounts of money, blankness and fonts."""
+    from folhario.functions.text import money_values
+
+    has = lambda f: F.exists("fonts", lambda x: F.lower(x).contains(f.lower()))
+    keep = said(F.col("text"), words, not_words, regex) & within(F.col("page"), pages) & within(F.col("words"), word_count)
+    for want, c in ((has_images, F.col("images") > 0), (money, F.size(money_values(F.col("text"))) > 0), (blank, F.col("words") <= 10)):
+        if want is not None:
+            keep = keep & (c == want)
+    if fonts_any:
+        keep = keep & reduce(lambda a, b: a | b, [has(f) for f in fonts_any])
+    if fonts_all:
+        keep = keep & reduce(lambda a, b: a & b, [has(f) for f in fonts_all])
+    return df.where(keep)
+
+
+def documents(df: DataFrame, pages: Span | None = None, any_image: bool | None = None) -> DataFrame:
+    """(doc): documents by their number of pages and whether any page has an image."""
+    d = df.groupBy("doc").agg(F.count("*").alias("n"), F.bool_or(F.col("images") > 0).alias("i"))
+    return d.where(within(F.col("n"), pages) & (F.col("i") == any_image if any_image is not None else F.lit(True))).select("doc")
+
+
+def term_hits(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """(doc, page, n_<term>...): how often each plain term stands on the pages that have them all."""
+    from folhario.functions.values import unaccent
+
+    norm = unaccent(F.lower("text"))
+    counts = [F.regexp_count(norm, F.lit(terms.plain(t))).alias(f"n_{terms.plain(t)}") for t in wanted]
+    return df.select("doc", "page", *counts).where(reduce(lambda a, b: a & b, [F.col(f"n_{terms.plain(t)}") > 0 for t in wanted]))

@@ -190,24 +190,6 @@ def value_histogram(spark, sf_dir):
     return e.groupBy("event_type", F.floor(F.col("value") / 10).cast("bigint").alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("event_id").alias("sample"))
 
 
-@plan()
-def bookmark_tree_pruned(spark, sf_dir):
-    flat = flatten(table(spark, sf_dir, "raw_processes")).where("kind = 'bookmark'").select("key", "node_id", F.coalesce(F.get_json_object("body", "$.Title"), F.get_json_object("body", "$.title")).alias("title"))
-    return tree.prune(flat, F.length("title") > 35).select(F.col("key").alias("process_number"), "node_id", "title")
-
-
-@plan()
-def page_scores(spark, sf_dir):
-    scored = segment.score_pages(corpus.pages(spark, sf_dir))
-    return scored.select("doc", "page", F.round("start_score", 6).alias("start_score"), F.round("end_score", 6).alias("end_score"))
-
-
-@plan()
-def scored_documents(spark, sf_dir):
-    scored = segment.score_pages(corpus.pages(spark, sf_dir))
-    return segment.boundaries(scored, F.col("start_score") > 0.25, F.col("end_score") > 0.3)
-
-
 @plan(BOXES + " SELECT doc, page, ord, line FROM (SELECT doc, page, ord, dense_rank() OVER (PARTITION BY doc, page ORDER BY y0 DESC) AS line, row_number() OVER (PARTITION BY doc, page, word ORDER BY ord, y0 DESC) AS n FROM b) WHERE n = 1")
 def reading_order(spark, sf_dir):
     b = _boxes(spark, sf_dir).withColumn("line", F.dense_rank().over(Window.partitionBy("doc", "page").orderBy(F.desc("y0"))).cast("bigint"))
