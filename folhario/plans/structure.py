@@ -64,16 +64,16 @@ def _scores(prefix: str) -> str:
     return f"{l} l JOIN {n} n ON n.doc = l.doc AND n.page = l.page JOIN {s} s ON s.doc = l.doc AND s.page = l.page JOIN {h} h ON h.doc = l.doc AND h.page = l.page"
 
 
-@plan(f"SELECT l.doc, l.page, round((s.patterns * 0.3 + l.density * 0.2 + l.fonts * 0.2 + g.size_change * 0.1 + n.score) / 2 + g.top_margin * 0.3 + h.score * 0.25, 4)::DOUBLE AS start_score, round(s.signatures * 0.4 + g.image_signature * 0.3, 4)::DOUBLE AS end_score FROM {_scores(RECORD)} JOIN ({RECORD + SIGNS} SELECT * FROM m) g ON g.doc = l.doc AND g.page = l.page")
+@plan(f"SELECT l.doc, l.page, round((s.patterns * 0.3 + l.density * 0.2 + l.fonts * 0.2 + g.size_change * 0.1 + n.score) / 2 + g.top_margin * 0.3 + h.score * 0.25, 7)::DOUBLE AS start_score, round(s.signatures * 0.4 + g.image_signature * 0.3, 7)::DOUBLE AS end_score FROM {_scores(RECORD)} JOIN ({RECORD + SIGNS} SELECT * FROM m) g ON g.doc = l.doc AND g.page = l.page")
 def record_scores(spark, sf_dir):
     scored = segment.full_scores(record_pages(spark, sf_dir))
-    return scored.select("doc", "page", F.round("start_score", 4).alias("start_score"), F.round("end_score", 4).alias("end_score"))
+    return scored.select("doc", "page", F.round("start_score", 7).alias("start_score"), F.round("end_score", 7).alias("end_score"))
 
 
-@plan(f"SELECT l.doc, l.page, round((s.patterns * 0.3 + l.density * 0.2 + l.fonts * 0.2 + n.score) / 2 + h.score * 0.25, 4)::DOUBLE AS start_score, round(s.signatures * 0.4, 4)::DOUBLE AS end_score FROM {_scores(PAGES)}")
+@plan(f"SELECT l.doc, l.page, round((s.patterns * 0.3 + l.density * 0.2 + l.fonts * 0.2 + n.score) / 2 + h.score * 0.25, 7)::DOUBLE AS start_score, round(s.signatures * 0.4, 7)::DOUBLE AS end_score FROM {_scores(PAGES)}")
 def page_scores(spark, sf_dir):
     scored = segment.score_pages(corpus.pages(spark, sf_dir))
-    return scored.select("doc", "page", F.round("start_score", 4).alias("start_score"), F.round("end_score", 4).alias("end_score"))
+    return scored.select("doc", "page", F.round("start_score", 7).alias("start_score"), F.round("end_score", 7).alias("end_score"))
 
 
 _CLOSED = "sum(e) OVER (PARTITION BY doc, segment ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
