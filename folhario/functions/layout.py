@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: name -> width, height in points (fixed values).
@@ -149,3 +149,15 @@ def magic(b: Column) -> Column:
         F.when(h.startswith("FFD8FF"), "jpeg").when(h.startswith("89504E47"), "png").when(h.startswith("47494638"), "gif").when(h.startswith("424D"), "bmp")
         .when(h.startswith("49492A00") | h.startswith("4D4D002A"), "tiff").when(h.startswith("25504446"), "pdf").when(h.startswith("504B0304"), "zip").otherwise("unknown")
     )
+
+
+def base64_parts(df: DataFrame, text: str, least: int = 20) -> DataFrame:
+    """A row for each run in a text that may be base64: its place in order, length, whether it can be decoded, bytes, kind, and what stands before it."""
+    runs = F.regexp_extract_all(text, F.lit(rf"[A-Za-z0-9+/]{{{least},}}={{0,2}}"), F.lit(0))
+    each = df.select("*", F.posexplode(runs).alias("_i", "_b"))
+    binary = F.when(F.length("_b") % 4 == 0, F.try_to_binary("_b", F.lit("base64")))
+    at = F.instr(F.col(text), F.col("_b"))
+    return each.withColumn("_x", binary).select(
+        *df.columns, (F.col("_i") + 1).alias("n"), F.length("_b").alias("chars"), F.col("_x").isNotNull().alias("decodable"), F.octet_length("_x").cast("bigint").alias("bytes"),
+        magic(F.col("_x")).alias("kind"), F.substring(F.col(text), F.greatest(at - 50, F.lit(1)), F.least(at - 1, F.lit(50))).alias("before"),
+    )

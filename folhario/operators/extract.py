@@ -31,7 +31,7 @@ def candidates(pages: DataFrame, text: str = "text") -> DataFrame:
         for f, stages in CASCADES.items()
         for i, (p, g, m, c) in enumerate(stages)
     ]
-    return pages.select("doc", "page", F.explode(F.array(*entries)).alias("e")).select("doc", "page", "e.*").where("value <> ''")
+    return pages.select("doc", "page", F.explode(F.filter(F.array(*entries), lambda e: e["value"] != "")).alias("e")).select("doc", "page", "e.*")
 
 
 def fields(cands: DataFrame) -> DataFrame:

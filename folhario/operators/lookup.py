@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folhario.runtime import broadcast_if_small
+from folhario.runtime import bounded_rows, broadcast_if_small
 
 
 def prioritised(rows: DataFrame, catalogue: DataFrame, keys: list[tuple[str, float]], value: str, order: str, small: int = 1_000_000) -> DataFrame:
@@ -58,19 +58,22 @@ def nearest(rows: DataFrame, table: DataFrame, group: str, amount: str, value: s
     return rows.join(found, [group, amount], "left")
 
 
-def in_rectangles(words: DataFrame, rectangles: DataFrame, mode: str = "overlap") -> DataFrame:
+def in_rectangles(words: DataFrame, rectangles: DataFrame, mode: str = "overlap", small: int = 100_000, every: int = 1000) -> DataFrame:
     """Words that overlap a template rectangle, or whose centre lies in it; `page` null in a rectangle means every page.
 
-    Rectangles are a handful a template, so they are matched as a broadcast list.
+    Rectangles of a page are joined on it. Those of every page are compared with every
+    word; they are a handful a template, at most `every`, and more is an error.
     """
-    r = F.broadcast(rectangles.withColumnRenamed("page", "_page"))
     t = F.col("tolerance")
     if mode == "center":
         x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
         hit = x.between(F.col("rx0") - t, F.col("rx1") + t) & y.between(F.col("ry0") - t, F.col("ry1") + t)
     else:
         hit = (F.col("x0") <= F.col("rx1") + t) & (F.col("x1") >= F.col("rx0") - t) & (F.col("y0") <= F.col("ry1") + t) & (F.col("y1") >= F.col("ry0") - t)
-    return words.join(r, (F.col("_page").isNull() | (F.col("_page") == F.col("page"))) & hit).drop("_page")
+    free = bounded_rows(rectangles.where("page is null"), every)
+    loose = rectangles.sparkSession.createDataFrame(free, rectangles.schema).drop("page")
+    paged = words.join(broadcast_if_small(rectangles.where("page is not null"), small), "page").where(hit)
+    return paged.unionByName(words.join(F.broadcast(loose), hit))
 
 
 def line_groups(words: DataFrame, tolerance: float) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folhario.functions import layout, ranges, terms, text
 from folhario.functions.values import unaccent
-from folhario.operators import segment
+from folhario.operators import labels, segment
 from folhario.plans.base import Plans
 from folhario.runtime import table
 from folhario.sources import corpus
@@ -197,6 +197,20 @@ def find_inverted_index(spark, sf_dir):
     return lookup(index(p, "page_id", "text"), "page_id", ["testemunha", "perici*"], every=True)
 
 
+@plan(INVERTED, pages=True)
+def find_words_scanned(spark, sf_dir):
+    from folhario.operators.search import scan
+
+    return scan(corpus.pages(spark, sf_dir), "page_id", "text", ["testemunha", "perici*"])
+
+
+@plan(", t AS (SELECT page_id, strip_accents(lower(text)) AS t FROM p) SELECT page_id, CAST(2 AS BIGINT) AS matched FROM t WHERE len(list_filter(regexp_extract_all(t, '[a-z0-9]{2,}'), lambda w: regexp_full_match(w, 'testemunh(a|as|o|e|ar|ado|ada|ados|adas|ou|ando|aram|ava)?'))) > 0 AND len(list_filter(regexp_extract_all(t, '[a-z0-9]{2,}'), lambda w: regexp_full_match(w, 'assin(a|as|o|e|ar|ado|ada|ados|adas|ou|ando|aram|ava|ante|antes)?') AND NOT regexp_full_match(w, 'assinantes?'))) > 0", pages=True)
+def find_stemmed(spark, sf_dir):
+    from folhario.operators.search import scan
+
+    return scan(corpus.pages(spark, sf_dir), "page_id", "text", ["testemunh", "assin"], stems=True)
+
+
 @plan(f""", r AS (SELECT cache_id AS doc, 1 AS a, 3 AS b FROM caches UNION ALL SELECT cache_id, 4, 6 FROM caches),
 h AS (SELECT r.doc, r.a, bool_or(contains({FOLDED}, 'honorarios')) AS hit, count(*) AS n FROM r JOIN p ON p.doc = r.doc AND p.page BETWEEN r.a AND r.b GROUP BY r.doc, r.a)
 SELECT doc, a AS start_page, n AS pages FROM h WHERE hit""", pages=True)
@@ -248,17 +262,24 @@ def bookmark_gap_fill(spark, sf_dir):
     return segment.page_islands(p.join(covered, ["doc", "page"], "left_anti"))
 
 
-CLASSES = (("laudo|pericia", "Laudo"), ("senten", "Sentenca"), ("capa", "Capa"), ("perito", "Perito"), ("requer|pedido", "Requerimento"), ("oficio", "Oficio"), ("certidao", "Certidao"), ("despach", "Despacho"), ("pagamento|honor|reserva|rpv", "Pagamento/Honorarios"))
-CASES = " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for p, n in CLASSES)
+_RULED = "CASE WHEN contains(t, 'laudo') OR contains(t, 'pericia') THEN {} WHEN contains(t, 'senten') THEN {} WHEN contains(t, 'capa') THEN {} WHEN contains(t, 'sighope') OR contains(t, 'perito') THEN {} WHEN contains(t, 'requer') OR contains(t, 'pedido') THEN {} WHEN contains(t, 'oficio') THEN {} WHEN contains(t, 'certidao') THEN {} WHEN contains(t, 'despach') THEN {} WHEN contains(t, 'pagamento') OR contains(t, 'honor') OR contains(t, 'reserva') OR contains(t, 'rpv') THEN {} ELSE {} END"
+_OWN = "array_to_string(list_transform(string_split(t, ' '), lambda x: upper(x[1]) || x[2:]), ' ')"
+_FOLDED_TITLE = "trim(regexp_replace(lower(strip_accents(title)), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
+LABELS = _RULED.format("'Laudo'", "'Sentenca'", "'Capa'", "'SIGHOPE'", "'Requerimento'", "'Oficio'", "'Certidao'", "'Despacho'", "'Pagamento/Honorarios'", _OWN)
+MACROS = _RULED.format("'anexo'", "'anexo'", "'anexo'", "'anexo'", "'requerimento'", "'oficio'", "'certidao'", "'despacho'", "'anexo'", "'outros'")
+SUBS = _RULED.format("'laudo'", "'sentenca'", "'capa'", "'sighope'", "'outros'", "'outros'", "'outros'", "'outros'", "'pagamento'", "'outros'")
 
 
-@plan(MARKS + f", t AS (SELECT doc, start_page, strip_accents(lower(title)) AS t FROM m) SELECT doc, start_page, CASE {CASES} ELSE 'outros' END AS label FROM t", pages=True)
+@plan(MARKS + f", t AS (SELECT doc, start_page, title, {_FOLDED_TITLE} AS t FROM m) SELECT doc, start_page, {LABELS} AS label, {MACROS} AS macro, {SUBS} AS sub, false AS known FROM t", pages=True)
 def bookmark_classify(spark, sf_dir):
-    t = unaccent(F.lower("title"))
-    label = F.when(t.rlike(CLASSES[0][0]), CLASSES[0][1])
-    for pattern, name in CLASSES[1:]:
-        label = label.when(t.rlike(pattern), name)
-    return _marks(spark, sf_dir).select("doc", "start_page", label.otherwise("outros").alias("label"))
+    return labels.labelled(_marks(spark, sf_dir).select("doc", "start_page", "title")).drop("title")
+
+
+@plan(MARKS + f", k AS (SELECT trim(regexp_replace(lower(strip_accents(especialidade)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS t, min(especialidade) AS a, min(area) AS b FROM especialidades_ref GROUP BY 1), t AS (SELECT rec_id, especialidade AS title, trim(regexp_replace(lower(strip_accents(especialidade)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS t FROM dados_diretoria_especial_v5 WHERE especialidade IS NOT NULL) SELECT rec_id, CASE WHEN k.t IS NOT NULL THEN a ELSE {LABELS.replace('(t,', '(t.t,')} END AS label, CASE WHEN k.t IS NOT NULL THEN b ELSE {MACROS.replace('(t,', '(t.t,')} END AS macro, CASE WHEN k.t IS NOT NULL THEN 'outros' ELSE {SUBS.replace('(t,', '(t.t,')} END AS sub, k.t IS NOT NULL AS known FROM t LEFT JOIN k ON k.t = t.t".replace("string_split(t,", "string_split(t.t,"), pages=True)
+def labels_by_dictionary(spark, sf_dir):
+    known = table(spark, sf_dir, "especialidades_ref").select(F.col("especialidade").alias("original"), F.lit(None).cast("string").alias("canonical"), F.col("area").alias("macro"), F.lit("").alias("sub"))
+    rows = table(spark, sf_dir, "dados_diretoria_especial_v5").where("especialidade is not null").select("rec_id", F.col("especialidade").alias("title"))
+    return labels.labelled(rows, known).drop("title")
 
 
 @plan("SELECT event_id, event_type, user_id, value FROM events WHERE contains(lower(event_type), 'c') AND value > 20 AND ts >= TIMESTAMP '2024-01-02' AND json_extract_string(props, '$.k')::INT % 2 = 0")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folhario.functions import text
 from folhario.functions.values import fold
-from folhario.operators import lookup, segment, tree
+from folhario.operators import lookup, quantile, segment, tree
 from folhario.operators.nested import flatten
 from folhario.plans.base import Plans
 from folhario.plans.records import BOXES, DADOS, _boxes, _fold
@@ -103,13 +103,14 @@ def signature_page(spark, sf_dir):
 def band_summary(spark, sf_dir):
     y = F.col("y0")
     k = _boxes(spark, sf_dir).withColumn("band", F.when(y >= 700, "top").when(y >= 300, "middle").otherwise("bottom"))
-    return k.groupBy("band").agg(F.count("*").alias("n"), F.round(F.median("x0"), 4).alias("x_median"), F.round(F.percentile("y0", 0.25), 4).alias("y_p25"), F.round(F.percentile("y0", 0.75), 4).alias("y_p75"))
+    x, y = quantile.quantiles(k, ["band"], "x0", {"x_median": 0.5}), quantile.quantiles(k, ["band"], "y0", {"y_p25": 0.25, "y_p75": 0.75})
+    return k.groupBy("band").agg(F.count("*").alias("n")).join(x, "band").join(y, "band").select("band", "n", *[F.round(c, 4).alias(c) for c in ("x_median", "y_p25", "y_p75")])
 
 
 @plan("WITH m AS (SELECT o_orderpriority, median(o_totalprice) AS med FROM orders GROUP BY 1) SELECT o.o_orderkey, o.o_totalprice FROM orders o JOIN m ON m.o_orderpriority = o.o_orderpriority WHERE abs(o.o_totalprice - med) / med > 0.95 ORDER BY o_orderkey LIMIT 10")
 def outlier_rows(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    m = o.groupBy("o_orderpriority").agg(F.median("o_totalprice").alias("med"))
+    m = quantile.quantiles(o, ["o_orderpriority"], "o_totalprice", {"med": 0.5})
     return o.join(m, "o_orderpriority").where(F.abs(F.col("o_totalprice") - F.col("med")) / F.col("med") > 0.95).select("o_orderkey", "o_totalprice").orderBy("o_orderkey").limit(10)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folhario.functions import layout, text, udfs
 from folhario.functions.values import STAND_INS, filled, fold, unaccent
-from folhario.operators import extract, lookup, segment, store
+from folhario.operators import extract, lookup, quantile, segment, store
 from folhario.plans.base import Plans
 from folhario.runtime import table
 from folhario.sources import corpus
@@ -27,18 +27,21 @@ def _filled(c: str) -> str:
 # storage
 
 
-@plan("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus || '+' FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0")
+def _again(o):
+    """A second version of a whole table: keys shifted, so that some are known and some are new, and another status."""
+    return o.select((F.col("o_orderkey") + 3).alias("o_orderkey"), "o_custkey", F.concat("o_orderstatus", F.lit("+")).alias("o_orderstatus"))
+
+
+@plan("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders UNION ALL SELECT o_orderkey + 3, o_custkey, o_orderstatus || '+' FROM orders WHERE o_orderkey + 3 NOT IN (SELECT o_orderkey FROM orders)")
 def insert_if_absent(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    new = o.where("o_orderkey % 2 = 0").withColumn("o_orderstatus", F.concat("o_orderstatus", F.lit("+")))
-    return store.insert_if_absent(o.where("o_orderkey % 3 = 0"), new, ["o_orderkey"], F.col("o_custkey"))
+    return store.insert_if_absent(o, _again(o), ["o_orderkey"], F.col("o_custkey"))
 
 
-@plan("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus || '+' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+@plan("SELECT o_orderkey + 3 AS o_orderkey, o_custkey, o_orderstatus || '+' AS o_orderstatus FROM orders UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey - 3 NOT IN (SELECT o_orderkey FROM orders)")
 def upsert_latest(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    new = o.where("o_orderkey % 2 = 0").withColumn("o_orderstatus", F.concat("o_orderstatus", F.lit("+")))
-    return store.upsert(o.where("o_orderkey % 3 = 0"), new, ["o_orderkey"], F.col("o_custkey"))
+    return store.upsert(o, _again(o), ["o_orderkey"], F.col("o_custkey"))
 
 
 @plan("SELECT cache_name, coalesce(CASE WHEN cache_id % 2 = 0 THEN process_number END, process_number) AS process_number, size_bytes + 1 AS size_bytes FROM caches WHERE cache_id % 5 <> 0 UNION ALL SELECT cache_name, process_number, size_bytes FROM caches WHERE cache_id % 5 = 0")
@@ -147,13 +150,15 @@ def ngram_docfreq(spark, sf_dir):
 
 @plan("SELECT l_returnflag, round(median(l_quantity), 6) AS med, round(quantile_cont(l_extendedprice, 0.25), 6) AS q1, round(quantile_cont(l_extendedprice, 0.75), 6) AS q3 FROM lineitem GROUP BY l_returnflag")
 def mode_median_quantile(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.median("l_quantity"), 6).alias("med"), F.round(F.percentile("l_extendedprice", 0.25), 6).alias("q1"), F.round(F.percentile("l_extendedprice", 0.75), 6).alias("q3"))
+    l = table(spark, sf_dir, "lineitem")
+    middle, ends = quantile.quantiles(l, ["l_returnflag"], "l_quantity", {"med": 0.5}), quantile.quantiles(l, ["l_returnflag"], "l_extendedprice", {"q1": 0.25, "q3": 0.75})
+    return middle.join(ends, "l_returnflag").select("l_returnflag", *[F.round(c, 6).alias(c) for c in ("med", "q1", "q3")])
 
 
 @plan("WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events GROUP BY event_type) SELECT event_id, e.event_type, value, value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a) AS outlier FROM events e JOIN q ON q.event_type = e.event_type")
 def iqr_outliers(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    q = e.groupBy("event_type").agg(F.percentile("value", 0.25).alias("a"), F.percentile("value", 0.75).alias("b"))
+    q = quantile.quantiles(e, ["event_type"], "value", {"a": 0.25, "b": 0.75})
     v, a, b = F.col("value"), F.col("a"), F.col("b")
     return e.join(q, "event_type").select("event_id", "event_type", "value", ((v < a - 1.5 * (b - a)) | (v > b + 1.5 * (b - a))).alias("outlier"))
 
@@ -205,15 +210,18 @@ def extract_fields(spark, sf_dir):
     return extract.fields(extract.candidates(corpus.pages(spark, sf_dir)))
 
 
-SCORE = r"SELECT doc, page, round(CASE WHEN words BETWEEN 100 AND 200 THEN 0.10 ELSE 0 END + CASE WHEN images = 1 THEN 0.10 ELSE 0 END + CASE WHEN list_contains(fonts, 'TimesNewRoman') THEN 0.05 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)PODER JUDICIÁRIO') THEN 0.15 ELSE 0 END + CASE WHEN contains(lower(text), 'pagamento de honorários') OR contains(lower(text), 'honorários em favor') THEN 0.15 ELSE 0 END + CASE WHEN regexp_matches(text, 'favor d[oa]\s+perit') THEN 0.10 ELSE 0 END + CASE WHEN regexp_matches(text, 'Resolução n[º°]') THEN 0.10 ELSE 0 END, 4)::DOUBLE AS score FROM p"
+_CUES = (
+    ("words BETWEEN 400 AND 600", 0.10), ("images = 1", 0.10), ("images = 0", 0.05), ("len(list_filter(fonts, lambda x: contains(x, 'TimesNewRoman'))) > 0", 0.05), ("regexp_matches(text, '(?i)PODER JUDICIÁRIO.*TRIBUNAL DE JUSTIÇA')", 0.15), ("regexp_matches(text, '(?i)Despacho [a-z]+ n[ºo°]')", 0.20),
+    ("contains(lower(text), 'pagamento de honorários')", 0.15), ("regexp_matches(text, '(?i)arbitrados em favor do Perito|favor do.*Perito')", 0.10), ("contains(lower(text), 'protocolo')", 0.15), ("contains(lower(text), 'resolução 09/2017') OR contains(lower(text), 'resolução 232')", 0.10), (r"regexp_matches(text, '\d{6}-\d{2}\.\d{4}\.\d\.\d{2}')", 0.05),
+)
 
 
-@plan(SCORE, pages=True)
+@plan(" SELECT doc, page, round(" + " + ".join(f"CASE WHEN {c} THEN {w} ELSE 0 END" for c, w in _CUES) + ", 4)::DOUBLE AS score FROM p", pages=True)
 def type_score(spark, sf_dir):
-    t = F.col("text")
+    t, low = F.col("text"), F.lower("text")
     score = extract.weighted_score([
-        (F.col("words").between(100, 200), 0.10), (F.col("images") == 1, 0.10), (F.array_contains("fonts", "TimesNewRoman"), 0.05), (t.rlike("(?iu)PODER JUDICIÁRIO"), 0.15),
-        (F.lower(t).contains("pagamento de honorários") | F.lower(t).contains("honorários em favor"), 0.15), (t.rlike(r"favor d[oa]\s+perit"), 0.10), (t.rlike("Resolução n[º°]"), 0.10),
+        (F.col("words").between(400, 600), 0.10), (F.col("images") == 1, 0.10), (F.col("images") == 0, 0.05), (F.exists("fonts", lambda x: x.contains("TimesNewRoman")), 0.05), (t.rlike("(?iu)PODER JUDICIÁRIO.*TRIBUNAL DE JUSTIÇA"), 0.15), (t.rlike("(?iu)Despacho [a-z]+ n[ºo°]"), 0.20),
+        (low.contains("pagamento de honorários"), 0.15), (t.rlike("(?iu)arbitrados em favor do Perito|favor do.*Perito"), 0.10), (low.contains("protocolo"), 0.15), (low.contains("resolução 09/2017") | low.contains("resolução 232"), 0.10), (t.rlike(r"\d{6}-\d{2}\.\d{4}\.\d\.\d{2}"), 0.05),
     ])
     return corpus.pages(spark, sf_dir).select("doc", "page", F.round(score, 4).alias("score"))
 
@@ -298,19 +306,25 @@ def collapse_doubled(spark, sf_dir):
     return n.unionByName(r).select("k", text.collapse_doubled(F.col("s")).alias("plain"))
 
 
-@plan("SELECT c_custkey, octet_length(from_base64(b)) AS n, decode(from_base64(b)) = c_name || '/' || c_mktsegment AS same FROM (SELECT *, to_base64(encode(c_name || '/' || c_mktsegment)) AS b FROM customer)")
+_SCAN = "regexp_extract_all(t, '[A-Za-z0-9+/]{20,}={0,2}')"
+
+
+@plan(f"WITH c AS (SELECT c_custkey, 'em anexo: ' || to_base64(encode(c_name || '/' || c_mktsegment)) || ' e ' || substr(to_base64(encode(c_name || c_name)), 1, 21) || '; ' || c_name AS t FROM customer), h AS (SELECT c_custkey, t, unnest({_SCAN}) AS b, generate_subscripts({_SCAN}, 1) AS n FROM c) SELECT c_custkey, CAST(n AS INT) AS n, CAST(length(b) AS INT) AS chars, length(b) % 4 = 0 AND TRY(from_base64(b)) IS NOT NULL AS decodable, CASE WHEN length(b) % 4 = 0 THEN octet_length(TRY(from_base64(b))) END::BIGINT AS bytes FROM h")
 def base64_scan(spark, sf_dir):
-    plain = F.concat_ws("/", "c_name", "c_mktsegment")
-    c = table(spark, sf_dir, "customer").select("c_custkey", plain.alias("p"), F.concat(F.lit("em anexo: "), F.base64(F.encode(plain, "UTF-8")), F.lit(" fim")).alias("t"))
-    found = F.try_to_binary(F.regexp_extract("t", "([A-Za-z0-9+/]{20,}={0,2})", 1), F.lit("base64"))
-    return c.select("c_custkey", F.octet_length(found).cast("bigint").alias("n"), (F.decode(found, "UTF-8") == F.col("p")).alias("same"))
+    whole, cut = F.base64(F.encode(F.concat_ws("/", "c_name", "c_mktsegment"), "UTF-8")), F.substring(F.base64(F.encode(F.concat("c_name", "c_name"), "UTF-8")), 1, 21)
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("em anexo: "), whole, F.lit(" e "), cut, F.lit("; "), "c_name").alias("t"))
+    return layout.base64_parts(c, "t").select("c_custkey", "n", "chars", "decodable", "bytes")
+
+
+_HEADS = ("FFD8FFE0", "89504E470D0A", "474946383961", "424D3600", "255044462D31", "504B03040A00", "00010203")
+_HEX = "hex(encode(o_orderstatus)) || hex(encode(o_orderpriority))"
 
 
-@plan("SELECT n_nationkey, ['jpeg','png','gif','bmp','pdf','zip','unknown'][n_nationkey % 7 + 1] AS kind FROM nation")
+@plan("WITH o AS (SELECT o_orderkey, [" + ", ".join(f"'{h}'" for h in _HEADS) + f"][CAST(abs(o_custkey) % 7 AS INT) + 1] || {_HEX} AS h FROM orders) SELECT o_orderkey, CASE WHEN starts_with(h, 'FFD8FF') THEN 'jpeg' WHEN starts_with(h, '89504E47') THEN 'png' WHEN starts_with(h, '47494638') THEN 'gif' WHEN starts_with(h, '424D') THEN 'bmp' WHEN starts_with(h, '25504446') THEN 'pdf' WHEN starts_with(h, '504B0304') THEN 'zip' ELSE 'unknown' END AS kind FROM o")
 def magic_sniff(spark, sf_dir):
-    heads = F.array(*[F.lit(x) for x in ("FFD8FFE0", "89504E470D0A", "474946383961", "424D3600", "255044462D31", "504B03040A00", "00010203")])
-    b = F.unhex(F.element_at(heads, (F.col("n_nationkey") % 7 + 1).cast("int")))
-    return table(spark, sf_dir, "nation").select("n_nationkey", layout.magic(b).alias("kind"))
+    head = F.element_at(F.array(*map(F.lit, _HEADS)), (F.abs("o_custkey") % 7 + 1).cast("int"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.unhex(F.concat(head, F.hex(F.encode("o_orderstatus", "UTF-8")), F.hex(F.encode("o_orderpriority", "UTF-8")))).alias("b"))
+    return o.select("o_orderkey", layout.magic(F.col("b")).alias("kind"))
 
 
 @plan("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, json_extract_string(props, '$.none') AS missing FROM events")
