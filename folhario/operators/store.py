@@ -66,3 +66,37 @@ def clean_json_text(c: Column) -> Column:
     t = F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
     t = F.regexp_replace(t, r"(?i)\\u00(?:0[0-8bcef]|1[0-9a-f])", "")
     return F.regexp_replace(t, r"(?i)\\ud[89a-f][0-9a-f]{2}", "")
+
+
+def write_documents(df: DataFrame, path: str, by: str = "doc", order: str | None = None) -> None:
+    """One folder of JSON a document, its rows in order; a document's rows go to one file."""
+    rows = df.repartition(by)
+    rows = rows.sortWithinPartitions(by, order) if order else rows
+    rows.write.mode("overwrite").partitionBy(by).json(path)
+
+
+def workbook(long: DataFrame, key: str, fields: Sequence[str], field: str = "field", value: str = "value") -> dict[str, DataFrame]:
+    """The sheets of a report: long (key, field, value), wide (a column a field), summary (found and different values a field)."""
+    wide = long.groupBy(key).agg(*[F.min(F.when(F.col(field) == f, F.col(value))).alias(f) for f in fields])
+    summary = long.groupBy(field).agg(F.count(value).alias("found"), F.count("*").alias("rows"), F.count_distinct(value).alias("different"))
+    return {"long": long.select(key, field, value), "wide": wide, "summary": summary}
+
+
+def write_workbook(sheets: dict[str, DataFrame], path: str, kind: str = "csv") -> list[str]:
+    """Each sheet in a folder of its own under `path`."""
+    for name, df in sheets.items():
+        write_format(df, f"{path}/{name}", kind)
+    return [f"{path}/{name}" for name in sheets]
+
+
+def count_report(df: DataFrame, by: str | None = None) -> DataFrame:
+    """The count format of a result: all rows, or the rows of each value of a column."""
+    return df.groupBy(by).agg(F.count("*").alias("n")) if by else df.agg(F.count("*").alias("n"))
+
+
+def result_envelope(df: DataFrame, by: str, name: str, order: str, **context: str | None) -> DataFrame:
+    """(by, body): one JSON object a document with how many rows were found, the rows, and only those filters that were set."""
+    cols = [c for c in df.columns if c not in (by, order)]
+    listed = df.groupBy(by).agg(F.count("*").alias("found"), F.sort_array(F.collect_list(F.struct(order, *cols))).alias(name))
+    said = [F.lit(v).alias(k) for k, v in context.items() if v is not None]
+    return listed.select(by, F.to_json(F.struct("found", *said, name)).alias("body"))

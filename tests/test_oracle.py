@@ -6,7 +6,7 @@ import os
 import pytest
 from helpers import SMALL, duck_rows, spark_rows
 
-MODULES = ["folhario.plans.nodes", "folhario.plans.filters", "folhario.plans.rollups", "folhario.plans.records", "folhario.plans.more", "folhario.plans.extraction", "folhario.plans.structure"]
+MODULES = ["folhario.plans.nodes", "folhario.plans.filters", "folhario.plans.rollups", "folhario.plans.records", "folhario.plans.more", "folhario.plans.extraction", "folhario.plans.structure", "folhario.plans.sinks"]
 QUERIES = {k: f for m in MODULES for k, f in importlib.import_module(m).QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in importlib.import_module(m).SQL.items()}
 
