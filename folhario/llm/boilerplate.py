@@ -54,11 +54,13 @@ def line_keys(c: Column) -> Column:
     """
     t = F.lower(c)
     t = F.regexp_replace(t, r"[^\p{L}\p{N}\n]+", " ")
-    t = F.regexp_replace(t, r"(?<=[a-zà-ý])0(?=[a-zà-ý])|(?<=[a-zà-ý]{2})0(?![0-9a-z])", "o")
-    t = F.regexp_replace(t, _misread("5", 2), "s")
-    t = F.regexp_replace(t, _misread("8"), "b")
-    t = F.regexp_replace(t, rf"{_misread('1')}(?<=[^aeiouà-ý]1)(?=[^aeiouà-ý])", "i")
-    t = F.regexp_replace(t, _misread("1"), "l")
+    u = F.regexp_replace(t, r"(?<=[a-zà-ý])0(?=[a-zà-ý])|(?<=[a-zà-ý]{2})0(?![0-9a-z])", "o")
+    u = F.regexp_replace(u, _misread("5", 2), "s")
+    u = F.regexp_replace(u, _misread("8"), "b")
+    u = F.regexp_replace(u, rf"{_misread('1')}(?<=[^aeiouà-ý]1)(?=[^aeiouà-ý])", "i")
+    u = F.regexp_replace(u, _misread("1"), "l")
+    # texts without such a digit behind a letter are spared the search for misread ones
+    t = F.when(t.rlike("[a-zà-ý][0158]"), u).otherwise(t)
     t = F.regexp_replace(t, rf"[a-z]*\d[a-z\d]*(?: (?:de )?(?:(?:{_MONTHS}) )?(?:de )?(?=[a-z]*\d)[a-z\d]+)*", "#")
     t = F.replace(t, F.lit("ç"), F.lit("c"))
     t = F.regexp_replace(t, r"[aeiouà-æè-öø-ý\p{Mn}]+", "")
