@@ -8,6 +8,7 @@ generation; `read_latest` is the merged view, and `compact` writes it as one gen
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,11 +16,14 @@ from pyspark.sql.streaming import StreamingQuery
 KEY, TIME = "process_number", "created_at"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(p) and any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(p)))
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at `path`; None while nothing is there."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if any(x in str(e) for x in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
+            return None
+        raise
 
 
 def _one(batch: DataFrame, last: bool) -> DataFrame:
@@ -29,14 +33,20 @@ def _one(batch: DataFrame, last: bool) -> DataFrame:
     return batch.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(best).select(KEY, "_r.*").select(*batch.columns)
 
 
-def first_wins(records: DataFrame, path: str, checkpoint: str, interval: str = "0 seconds") -> StreamingQuery:
-    """Stream records into the table at `path`, each key once."""
+def first_wins(records: DataFrame, path: str, checkpoint: str, interval: str = "0 seconds", parts: int = 64) -> StreamingQuery:
+    """Stream records into the table at `path`, each key once.
+
+    The table is partitioned by the key's hash (`bucket`), so a batch reads only the
+    parts that its own keys fall in.
+    """
 
     def store(batch: DataFrame, _: int) -> None:
-        new = _one(batch, last=False)
-        if _exists(batch.sparkSession, path):
-            new = new.join(batch.sparkSession.read.parquet(path).select(KEY), KEY, "left_anti").select(*batch.columns)
-        new.write.mode("append").parquet(path)
+        new = _one(batch, last=False).withColumn("bucket", F.pmod(F.xxhash64(KEY), F.lit(parts)).cast("int"))
+        stored = _stored(batch.sparkSession, path)
+        if stored is not None:
+            hit = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most `parts`
+            new = new.join(stored.where(F.col("bucket").isin(hit)).select(KEY), KEY, "left_anti")
+        new.write.mode("append").partitionBy("bucket").parquet(path)
 
     return records.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
 
