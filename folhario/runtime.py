@@ -72,11 +72,15 @@ def skew_join(rows: DataFrame, facts: DataFrame, on: Sequence[str], counts: Data
     `counts`: the columns `on` and `_n`, the number of rows of a key. A key with more than
     `floor` rows and more than a `share`-th of all is hot; there can't be more than `share`
     such keys, so their list is broadcast. Rows of a hot key are salted by their content
-    and its fact is repeated for every salt; all other keys are joined as they are.
+    and its fact is repeated for every salt; all other keys are joined as they are. The
+    counts are looked at here, so they should be a table that is cut or cheap; where no
+    key is hot, it is a plain join.
     """
-    total = counts.agg(F.sum("_n").alias("_total"))
-    hot = counts.crossJoin(F.broadcast(total)).where((F.col("_n") > floor) & (F.col("_n") * share > F.col("_total")))
-    hot = F.broadcast(hot.select(*on, F.least(F.ceil(F.col("_n") / F.greatest(F.col("_total") / 1000, F.lit(floor))), F.lit(1000)).cast("int").alias("_copies")))
+    total = counts.agg(F.sum("_n").alias("t")).first()["t"] or 0
+    hot = counts.where((F.col("_n") > floor) & (F.col("_n") * share > total))
+    if hot.isEmpty():
+        return rows.join(facts, [*on], how)
+    hot = F.broadcast(hot.select(*on, F.least(F.ceil(F.col("_n") / max(total / 1000, floor)), F.lit(1000)).cast("int").alias("_copies")))
     plain = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
     salted = rows.join(hot, [*on], "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.coalesce("_copies", F.lit(1))).cast("int")).drop("_copies")
     copied = facts.where(plain).join(hot, [*on], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))).drop("_copies")
