@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folhario.functions.values import filled, fold
-from folhario.runtime import skew_join
+from folhario.runtime import cut, skew_join
 
 FIELDS = ("processo", "juizo", "perito_nome", "cpf_perito", "especialidade", "valor_arbitrado", "valor_tabelado", "numero_autos", "autor", "parte_contraria", "destino", "comarca")
 LAST_RANK = 1_000_000
@@ -102,7 +102,7 @@ def survivors(df: DataFrame, methods: DataFrame, **columns) -> DataFrame:
     smallest id; fields of a cell compare in that order.
     """
     rows = profiles(df, methods, **columns)
-    chosen = skyline(cells(rows)).select("_group", "_page", F.negate(F.array_max("_sky")["_neg"]).alias("survivor_id"), "_n")
+    chosen = cut(skyline(cells(rows)).select("_group", "_page", F.negate(F.array_max("_sky")["_neg"]).alias("survivor_id"), "_n"))
     members = rows.select(F.col("_key").alias("rec_id"), "_group", "_page")
     return skew_join(members, chosen.drop("_n"), ["_group", "_page"], chosen).select("rec_id", "survivor_id")
 
@@ -134,6 +134,7 @@ def golden(df: DataFrame, methods: DataFrame, fields: Sequence[str] = FIELDS, **
     grouped = cells(rows).withColumn("_layer", F.pandas_udf(_layers, "array<int>")("_cells"))
     flat = grouped.select("_group", "_page", F.explode(F.arrays_zip("_cells", "_layer")).alias("_c"))
     ranked = flat.select("_group", "_page", F.col("_c._cells._full").alias("_full"), F.negate(F.col("_c._cells._trust")).alias("_rank"), F.col("_c._layer").alias("_layer"), F.col("_c._cells._n").alias("_n"))
+    ranked = cut(ranked)
     joined = skew_join(rows, ranked.drop("_n"), ["_group", "_page", "_full", "_rank"], ranked)
     order = F.struct("_layer", (-F.col("_full")).alias("a"), F.col("_rank").alias("b"), (-F.col("_when")).alias("c"), F.col("_key").alias("d"))
     built = [F.min_by(f, F.when(filled(F.col(f).cast("string")), order)).alias(f) for f in fields]
