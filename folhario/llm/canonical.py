@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from folhario.functions.values import filled
 from folhario.llm.names import COMMON_GIVEN, Name, agree, allowed, fold, is_initial, osa, parse, skeleton
-from folhario.runtime import bounded_rows, skew_join
+from folhario.runtime import bounded_rows, cut, skew_join
 
 NONE = -1
 
@@ -290,7 +290,7 @@ def canonical(df: DataFrame, fields: dict[str, tuple[str, DataFrame, str, str]],
     held = spark.sparkContext.broadcast(rankers)
 
     stacked = reduce(DataFrame.unionByName, [df.select(key, F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in fields]).where(filled(F.col("value")))
-    values = stacked.groupBy("field_name", "value").agg(F.count("*").alias("_n"))
+    values = cut(stacked.groupBy("field_name", "value").agg(F.count("*").alias("_n")))
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
