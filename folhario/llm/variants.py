@@ -43,19 +43,34 @@ PLACE = ("shard", "last", "suffix")
 
 
 class Trie:
-    """Words by their letters; `near` walks it with the rows of a Levenshtein automaton."""
+    """Words by their letters; `near` walks it with the rows of a Levenshtein automaton.
 
-    __slots__ = ("next", "word")
+    Below a letter that only one word goes through, the rest of that word stands as it is.
+    """
+
+    __slots__ = ("next", "rest", "word")
 
-    def __init__(self):
+    def __init__(self, word: str | None = None, rest: str = ""):
         self.next: dict[str, Trie] = {}
-        self.word: str | None = None
+        self.word, self.rest = word, rest
 
     def add(self, word: str) -> None:
-        node = self
-        for c in word:
-            node = node.next.setdefault(c, Trie())
-        node.word = word
+        node, i = self, 0
+        while True:
+            if node.rest:  # the one word here goes a letter down, to make room
+                old, rest = node.word, node.rest
+                if rest == word[i:]:
+                    return
+                node.word, node.rest = None, ""
+                node.next[rest[0]] = Trie(old, rest[1:])
+            if i == len(word):
+                node.word = word
+                return
+            below = node.next.get(word[i])
+            if below is None:
+                node.next[word[i]] = Trie(word, word[i + 1 :])
+                return
+            node, i = below, i + 1
 
     def near(self, word: str, most: int) -> list[str]:
         """Every word of the trie within `most` edits (a swap of neighbours is one).
@@ -64,54 +79,99 @@ class Trie:
         far may be the word's first i letters with d edits. A step is a few operations
         on whole numbers, and a branch is left once no state is alive.
         """
-        n = len(word)
         mask: dict[str, int] = {}
         for i, c in enumerate(word):
             mask[c] = mask.get(c, 0) | 1 << i
-        done = 1 << n
+        get = mask.get
+        done = 1 << len(word)
+        full = 2 * done - 1
         out: list[str] = []
-        start = tuple((2 << d) - 1 for d in range(most + 1))
-        stack = [(child, c, 0, start, None) for c, child in self.next.items()]
+        # a state: node, the mask of the letter before, this row, the row before it; rows past the first letter only
+        stack = [(self, 0, tuple((2 << d) - 1 & full for d in range(most + 1)), (0,) * (most + 1))]
         while stack:
-            node, c, before, last, older = stack.pop()
-            m = mask.get(c, 0)
-            r = (last[0] & m) << 1
-            row = [r]
-            swap = m & (before >> 1) if older is not None else 0
-            for d in range(1, most + 1):
-                # same letter; another letter; a letter more; a letter less; two letters swapped
-                r = ((last[d] & m) << 1) | (last[d - 1] << 1) | last[d - 1] | (r << 1)
-                if swap:
-                    r |= (older[d - 1] & swap) << 2
-                row.append(r)
-            if r & done and node.word is not None:
+            node, before, last, older = stack.pop()
+            if node.rest:
+                if most == 1:  # the common bounds, without a loop over rows
+                    (l0, l1), (o0, _) = last, older
+                    for c in node.rest:
+                        m = get(c, 0)
+                        r0 = (l0 & m) << 1
+                        r1 = ((l1 & m) << 1 | l0 << 1 | l0 | r0 << 1 | (o0 & m & before >> 1) << 2) & full
+                        if not r1:
+                            break
+                        o0, l0, l1, before = l0, r0, r1, m
+                    else:
+                        if l1 & done:
+                            out.append(node.word)
+                elif most == 2:
+                    (l0, l1, l2), (o0, o1, _) = last, older
+                    for c in node.rest:
+                        m = get(c, 0)
+                        swap = m & before >> 1
+                        r0 = (l0 & m) << 1
+                        r1 = ((l1 & m) << 1 | l0 << 1 | l0 | r0 << 1 | (o0 & swap) << 2) & full
+                        r2 = ((l2 & m) << 1 | l1 << 1 | l1 | r1 << 1 | (o1 & swap) << 2) & full
+                        if not r2:
+                            break
+                        o0, o1, l0, l1, l2, before = l0, l1, r0, r1, r2, m
+                    else:
+                        if l2 & done:
+                            out.append(node.word)
+                else:
+                    for c in node.rest:
+                        m = get(c, 0)
+                        last, older, before = self._row(last, older, m, m & before >> 1, full), last, m
+                        if not last[-1]:
+                            break
+                    else:
+                        if last[-1] & done:
+                            out.append(node.word)
+                continue
+            if node.word is not None and last[-1] & done:
                 out.append(node.word)
-            if r & (2 * done - 1):
-                for e, child in node.next.items():
-                    stack.append((child, e, m, row, last))
+            for c, below in node.next.items():
+                m = get(c, 0)
+                row = self._row(last, older, m, m & before >> 1, full)
+                if row[-1]:
+                    stack.append((below, m, row, last))
         return out
 
+    @staticmethod
+    def _row(last: tuple[int, ...], older: tuple[int, ...], m: int, swap: int, full: int) -> tuple[int, ...]:
+        """The automaton's next row: same letter; another letter; a letter more; a letter less; two letters swapped."""
+        r = (last[0] & m) << 1
+        row = [r]
+        for d in range(1, len(last)):
+            r = ((last[d] & m) << 1 | last[d - 1] << 1 | last[d - 1] | r << 1 | (older[d - 1] & swap) << 2) & full
+            row.append(r)
+        return tuple(row)
+
 
 class Vocabulary:
-    """Tokens in two tries, as written and plainly spelled, for neighbours by either."""
+    """Tokens in two tries, as written and (those that differ from that) plainly spelled, for neighbours by either."""
 
     def __init__(self, tokens=()):
-        self.written, self.plain = Trie(), Trie()
+        self.written, self.odd = Trie(), Trie()
         self.by_plain: dict[str, list[str]] = defaultdict(list)
         for t in tokens:
             self.add(t)
 
     def add(self, token: str) -> None:
         s = skeleton(token)
-        if s not in self.by_plain:
-            self.plain.add(s)
-        self.by_plain[s].append(token)
+        if s != token:
+            if s not in self.by_plain:
+                self.odd.add(s)
+            self.by_plain[s].append(token)
         self.written.add(token)
 
     def near(self, token: str, most: int) -> set[str]:
         out = set(self.written.near(token, most))
-        for s in self.plain.near(skeleton(token), most):
-            out.update(self.by_plain[s])
+        s = skeleton(token)
+        if s != token:
+            out.update(t for t in self.written.near(s, most) if skeleton(t) == t)
+        if self.by_plain:
+            for plain in self.odd.near(s, most):
+                out.update(self.by_plain[plain])
         return out
 
 

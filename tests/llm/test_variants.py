@@ -88,3 +88,20 @@ def test_parts_of_names():
     assert spelled("gorbinjo", "gorbimjo") == 1 and spelled("rosa", "rita") is None
     assert agree(("ana", "dorvalho"), ("ana", "lima", "dorvalho"), frozenset()).missing == 1
     assert agree(("marta", "x"), ("maria", "x"), frozenset({"marta", "maria"})) is None
+
+
+def test_names_put_in_order_with_many_given_names():
+    import random
+    import time
+
+    r = random.Random(4)
+    given = frozenset("".join(r.choice("bdfglmnprst") + r.choice("aeiou") for _ in range(4)) for _ in range(20_000)) | {"marta"}
+    turned = variants.Turner(given)
+    assert turned(["souza", "lima", "marta"]) == ["marta", "lima", "souza"]
+    assert turned(["zwxqwz", "marta", "lima"]) == ["marta", "lima", "zwxqwz"]
+    assert turned(["martha", "marta", "lima"]) == ["martha", "marta", "lima"], "a given name misspelled stays first"
+    assert turned(["marta", "lima"]) == ["marta", "lima"] and turned(["m.", "marta", "lima"]) == ["m.", "marta", "lima"] and turned([]) == []
+    began = time.time()
+    for i in range(300):
+        turned([f"xyzw{i}", "marta", "lima"])
+    assert time.time() - began < 10
