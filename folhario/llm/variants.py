@@ -181,11 +181,13 @@ def token_heads(weights: dict[str, int]) -> dict[str, str]:
     Tokens are taken by falling weight, and only heads are joined, so a chain of small
     differences can't run from one word to another.
     """
-    words = Vocabulary(weights)
+    words = Vocabulary()  # of the heads alone
     heads: dict[str, str] = {}
     for t in sorted(weights, key=lambda t: (-weights[t], t)):
-        fits = [(d, -weights[u], u) for u in words.near(t, allowed(t, t)) if heads.get(u) == u and (d := spelled(t, u)) is not None]
+        fits = [(d, -weights[u], u) for u in words.near(t, allowed(t, t)) if (d := spelled(t, u)) is not None]
         heads[t] = min(fits)[2] if fits else t
+        if not fits:
+            words.add(t)
     return heads
 
 
@@ -253,15 +255,17 @@ def word_heads(weights: dict[str, int]) -> dict[str, str]:
     an edit apart and one of them looks like a slip: letters swapped, doubled or left
     out, or a spelling that `weights` (the ways names with it are written) shows to be rare.
     """
-    words = Vocabulary(weights)
+    words = Vocabulary()  # of the heads alone
     heads: dict[str, str] = {}
     for t in sorted(weights, key=lambda t: (-weights[t], t)):
         fits = []
         for u in words.near(t, 1 if len(t) >= 5 else 0):
             slip = len(u) != len(t) or sorted(u) == sorted(t) or skeleton(u) == skeleton(t) or weights[t] <= 2 and weights[u] > 2 * weights[t]
-            if heads.get(u) == u and slip:
+            if slip:
                 fits.append((spelled(t, u) or 0, -weights[u], u))
         heads[t] = min(fits)[2] if fits else t
+        if not fits:
+            words.add(t)
     return heads
 
 
